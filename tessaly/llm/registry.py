@@ -1,8 +1,12 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import pack
+from . import exact, pack, repair
 
 QUERIES = {
+    "op1_repair_token_shards": repair.query,
+    "op7_golomb_exact_dedup": exact.query,
     "op5_bin_slack_packing": pack.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_golomb_exact_dedup": exact.ORACLE,
+}
