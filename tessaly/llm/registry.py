@@ -1,12 +1,17 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import exact, pack, repair
+from . import exact, langid, mix, pack, repair, topk
 
 QUERIES = {
     "op1_repair_token_shards": repair.query,
-    "op7_golomb_exact_dedup": exact.query,
+    "op2_weighted_source_mix": mix.query,
     "op5_bin_slack_packing": pack.query,
+    "op7_golomb_exact_dedup": exact.query,
+    "op9_tiled_top_k": topk.query,
+    "op10_compression_language_id": langid.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_weighted_source_mix": mix.ORACLE,
     "op7_golomb_exact_dedup": exact.ORACLE,
+    "op9_tiled_top_k": topk.ORACLE,
 }
