@@ -1,10 +1,11 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import exact, langid, mix, pack, repair, topk
+from . import exact, langid, lines, mix, pack, repair, topk
 
 QUERIES = {
     "op1_repair_token_shards": repair.query,
     "op2_weighted_source_mix": mix.query,
+    "op4_line_dedup": lines.query,
     "op5_bin_slack_packing": pack.query,
     "op7_golomb_exact_dedup": exact.query,
     "op9_tiled_top_k": topk.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_weighted_source_mix": mix.ORACLE,
+    "op4_line_dedup": lines.ORACLE,
     "op7_golomb_exact_dedup": exact.ORACLE,
     "op9_tiled_top_k": topk.ORACLE,
 }
