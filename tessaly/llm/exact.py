@@ -1,8 +1,8 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
 Each task digests its documents' texts without white space and keeps, block by block, ids, lengths and digests. Blocks
-send sorted compressed fingerprints to their owners and get duplicate bitmaps back; only documents whose fingerprint
-is elsewhere, or twice in the block, are suspects. Suspects' texts are then compared byte by byte: grouped by the whole
+send sorted compressed fingerprints to their owners and get duplicate bitmaps back; only documents whose fingerprint was
+sent more than once are suspects. Suspects' texts are then compared byte by byte: grouped by the whole
 normalised text, with partial sums before the shuffle, so a large group of copies sends one row from each task.
 
 Cases: null text counts as empty, and empty texts are equal; of rows that repeat wholly one is kept; a null id is
@@ -65,8 +65,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for row in batch.to_pylist():
                 h = prints(row)
-                _, where, counts = np.unique(h, return_inverse=True, return_counts=True)
-                suspect = (counts[where] > 1) | (exchange.unpack(h, row["answer"], owners) > 0)
+                suspect = exchange.unpack(h, row["answer"], owners) > 0
                 shas = np.frombuffer(row["shas"], np.uint8).reshape(-1, 32)
                 place = np.arange(len(h)) | np.int64(row["block"] << 20)
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["points"], pa.int64()), pa.array([x.tobytes().hex() for x in shas], pa.string()), pa.array(place, pa.int64()), pa.array(suspect)], ["doc_id", "points", "sha", "place", "suspect"])

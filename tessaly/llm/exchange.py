@@ -2,7 +2,7 @@
 
 A block sends each owner its distinct fingerprints, sorted and Golomb-Rice coded; an owner answers every block with a
 few bits for each of them. A value costs some 30 bits there and a few back, and however often a value occurs, a block
-sends it once.
+sends it once, with its count where that is over 1.
 """
 
 from __future__ import annotations
@@ -52,8 +52,9 @@ def split(values: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def answers(blocks: DataFrame, hashes: Callable[[dict], np.ndarray], columns: list[str], owners: int, most: int = 1) -> DataFrame:
-    """For each block: answer, a list of (owner, packed): for each distinct value sent, in order, in how many other
-    blocks it is, `most` at most. hashes: from a block's row, a dict of `columns` and block, to distinct 64-bit hashes."""
+    """For each block: answer, a list of (owner, packed): for each distinct value sent, in order, how often else it was
+    sent, in this block or others, `most` (up to 254) at most. hashes: 64-bit hashes from a block's row, a dict of
+    `columns` and block."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,18 +62,26 @@ def answers(blocks: DataFrame, hashes: Callable[[dict], np.ndarray], columns: li
                 owner, value, order = split(hashes(row), owners)
                 owner, value = owner[order], value[order]
                 cuts = np.searchsorted(owner, np.arange(owners + 1))
-                got = [(o, golomb(np.unique(value[a:b]))) for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in got], pa.int32()), pa.array([row["block"]] * len(got), pa.int64()), pa.array([x for _, x in got], pa.binary())], ["owner", "block", "coded"])
+                got = []
+                for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if b > a:
+                        distinct, times = np.unique(value[a:b], return_counts=True)
+                        times = np.minimum(times, 255).astype(np.uint8)
+                        got.append((o, golomb(distinct), times.tobytes() if times.max() > 1 else b""))
+                cols = list(zip(*got, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([row["block"]] * len(got), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["owner", "block", "coded", "times"])
 
     def own(frame: pd.DataFrame) -> pd.DataFrame:
         lists = [ungolomb(x) for x in frame["coded"]]
-        _, where, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        others = np.minimum(counts[where] - 1, most).astype(np.uint8)
+        times = [np.frombuffer(t, np.uint8) if t else np.ones(len(x), np.uint8) for t, x in zip(frame["times"], lists, strict=True)]
+        _, where = np.unique(np.concatenate(lists), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate(times)).astype(np.int64)
+        others = np.minimum(total[where] - 1, most).astype(np.uint8)
         cuts = np.cumsum([len(x) for x in lists])[:-1]
         packed = [(np.packbits(x) if most == 1 else x).tobytes() for x in np.split(others, cuts)]
         return pd.DataFrame({"block": frame["block"], "owner": frame["owner"], "packed": packed})
 
-    sent = blocks.select("block", *columns).mapInArrow(send, "owner int, block long, coded binary")
+    sent = blocks.select("block", *columns).mapInArrow(send, "owner int, block long, coded binary, times binary")
     told = sent.groupBy("owner").applyInPandas(own, "block long, owner int, packed binary")
     return told.groupBy("block").agg(F.collect_list(F.struct("owner", "packed")).alias("answer"))
 
