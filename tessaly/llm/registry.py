@@ -1,10 +1,11 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import exact, langid, lines, mix, pack, repair, topk
+from . import exact, jaccard, langid, lines, mix, pack, repair, topk
 
 QUERIES = {
     "op1_repair_token_shards": repair.query,
     "op2_weighted_source_mix": mix.query,
+    "op3_token_combination_join": jaccard.query,
     "op4_line_dedup": lines.query,
     "op5_bin_slack_packing": pack.query,
     "op7_golomb_exact_dedup": exact.query,
