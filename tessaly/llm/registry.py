@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import exact, jaccard, langid, lines, mix, pack, repair, topk
+from . import exact, jaccard, langid, lattice, lines, mix, pack, repair, topk
 
 QUERIES = {
     "op1_repair_token_shards": repair.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_token_combination_join": jaccard.query,
     "op4_line_dedup": lines.query,
     "op5_bin_slack_packing": pack.query,
+    "op6_subword_lattice_score": lattice.query,
     "op7_golomb_exact_dedup": exact.query,
     "op9_tiled_top_k": topk.query,
     "op10_compression_language_id": langid.query,
