@@ -250,17 +250,16 @@ def counted(blocks_: DataFrame, owners: int) -> DataFrame:
         starts = (np.cumsum(lengths) - lengths)[first]
         each = lengths[first]
         spot = np.repeat(starts - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        row = {"owner": int(frame["owner"].iloc[0]), "coded": golomb(keys), "lengths": _z(each.astype("<u4")), "letters": zlib.compress(letters[spot].tobytes(), 1), "counts": _z(total), "n": int(total.sum()), "v": int((total > 0).sum())}
+        row = {"owner": int(frame["owner"].iloc[0]), "coded": golomb(keys), "lengths": _z(each.astype("<u4")), "letters": zlib.compress(letters[spot].tobytes(), 1), "counts": _z(total), "n": int(total.sum()), "v": int((total > 0).sum()), "n1": int((total == 1).sum()), "n2": int((total == 2).sum())}
         return pd.DataFrame([row])
 
-    kind = "owner int, coded binary, lengths binary, letters binary, counts binary, n long, v long"
+    kind = "owner int, coded binary, lengths binary, letters binary, counts binary, n long, v long, n1 long, n2 long"
     return stored(_requests(blocks_, owners, True).groupBy("owner").applyInPandas(own, kind), "vocabulary")
 
 
-def trained(vocabulary: DataFrame, path: str, ends: int, rounds: int) -> tuple[np.ndarray, float]:
-    """Log weights of pieces and of the end, after some rounds of expectation maximisation over all training words."""
-    base = pieces(path)
-    weights, end = base.first + np.log(0.999), float(np.log(0.001))
+def trained(vocabulary: DataFrame, path: str, rounds: int) -> np.ndarray:
+    """Log weights of pieces, after some rounds of expectation maximisation over all distinct training words."""
+    weights = pieces(path).first
     for _ in range(rounds):
         held = weights
 
@@ -271,7 +270,7 @@ def trained(vocabulary: DataFrame, path: str, ends: int, rounds: int) -> tuple[n
                     counts, size = _unz(row["counts"], "<i8"), _unz(row["lengths"], "<u4").astype(np.int64)
                     letters = _unz(row["letters"], np.uint8)
                     seen = counts > 0
-                    _, used = likelihood(own, held, letters[np.repeat(seen, size)], size[seen], counts[seen])
+                    _, used = likelihood(own, held, letters[np.repeat(seen, size)], size[seen], np.ones(int(seen.sum())))
                     at = np.flatnonzero(used)
                     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(used[at])], ["piece", "used"])
 
@@ -281,9 +280,8 @@ def trained(vocabulary: DataFrame, path: str, ends: int, rounds: int) -> tuple[n
         used = np.full(len(weights), 0.05)
         for r in got:
             used[r.piece] += r.used
-        total = used.sum() + ends
-        weights, end = np.log(used / total), float(np.log(ends / total))
-    return weights, end
+        weights = np.log(used / used.sum())
+    return weights
 
 
 def scored(docs: DataFrame, path: str, held_out: Column, rounds: int = 2, block_words: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,15 +291,23 @@ def scored(docs: DataFrame, path: str, held_out: Column, rounds: int = 2, block_
     size, ends = stored_.agg(F.sum(F.length("hashes") / 8), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
     owners, ends = max(partitions(docs.sparkSession), int(size or 0) // 1_000_000), int(ends or 0)
     vocabulary = counted(stored_, owners)
-    n, v = vocabulary.agg(F.sum("n"), F.sum("v")).first()
-    n, v = int(n or 0) + ends, int(v or 0) + (ends > 0)
-    weights, end = trained(vocabulary, path, ends, rounds)
+    n, types, n1, n2 = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.sum("v"), F.sum("n1"), F.sum("n2")).first())
+    n, v = n + ends, types + (ends > 0)
+    weights = trained(vocabulary, path, rounds)
+    less = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    new = float(np.log(less * types / n)) if types else float(np.log(0.999))
+    end = float(np.log(ends / n if ends else 0.001))
+    if not types and ends:
+        new = float(np.log(1e-3))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for batch in batches:
             for row in batch.to_pylist():
                 got, _ = likelihood(own, weights, _unz(row["letters"], np.uint8), _unz(row["lengths"], "<u4").astype(np.int64))
+                seen = _unz(row["counts"], "<i8")
+                got += new
+                got[seen > 0] = np.logaddexp(got[seen > 0], np.log((seen[seen > 0] - less) / n))
                 yield pa.RecordBatch.from_arrays([pa.array([row["owner"]], pa.int32()), pa.array([row["coded"]], pa.binary()), pa.array([row["counts"]], pa.binary()), pa.array([got.astype("<f8").tobytes()], pa.binary())], ["owner_", "keys", "counts", "logs"])
 
     known = vocabulary.select("owner", "coded", "lengths", "letters", "counts").mapInArrow(score, "owner_ int, keys binary, counts binary, logs binary")
