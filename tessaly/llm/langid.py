@@ -26,10 +26,13 @@ _ready: dict = {}
 def learn(labelled: DataFrame, texts: int = 150, chars: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Each language's dictionary, from columns of text and language; null ones teach nothing."""
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count()
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 3.0 * texts / n))])
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1e6
     # About three times the wanted number pass the first draw, so the ranking sees few rows of each language.
-    drawn = rows.withColumn("draw", draw).join(counts, "lang").where(F.col("draw") * F.col("count") <= 3.0 * texts)
+    drawn = rows.withColumn("draw", draw).where(F.col("draw") <= share[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("draw", "id", "text")
     few = drawn.select("lang", "draw", "id", F.substring("text", 1, chars).alias("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts)
     out: dict[str, list[bytes]] = {}
