@@ -135,13 +135,8 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     """The words with one space between."""
     if not len(start):
         return b""
-    a = int(start[0])
-    cover = np.zeros(int(end[-1]) - a + 1, np.int8)
-    cover[start - a] += 1
-    cover[end[:-1] - a] += 1
-    np.subtract.at(cover, end[:-1] - a + 1, 1)
-    cover[-1] -= 1
-    run = np.cumsum(cover[:-1]) > 0
-    part = data[a : int(end[-1])].copy()
-    part[end[:-1] - a] = 32
-    return part[run].tobytes()
+    each = end - start + 1
+    at = np.repeat(start - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+    part = data[np.minimum(at, len(data) - 1)]
+    part[np.cumsum(each) - 1] = 32
+    return part[:-1].tobytes()
