@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._shared import stored
+
 LAST = (1 << 63) - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,7 +48,8 @@ def dropped(docs: DataFrame, least: int = 10, hot: int = 256, salts: int = 64) -
     rows = rows.withColumn("salt", salt)
     dealt = rows.repartitionByRange("h", "g", "salt").sortWithinPartitions("h", "g", "salt", "doc", "pos")
     stream = Window.partitionBy("h", "g", "salt").orderBy("doc", "pos")
-    first = dealt.withColumn("first", F.first("doc").over(stream))
+    first = dealt.withColumn("first", F.first("doc").over(stream)).where("doc > first or salt >= 0")
+    first = stored(first.select("h", "g", "salt", "doc", "print", "pos", "first"), "repeated-lines")  # so that lines are dealt once
     parts = first.where("salt >= 0").groupBy("h", "g").agg(F.min("first").alias("least"))
     found = first.where("salt < 0 and doc > first").select("doc", "print", "pos")
     found = found.unionByName(first.where("salt >= 0").join(F.broadcast(parts), ["h", "g"]).where("doc > least").select("doc", "print", "pos"))
