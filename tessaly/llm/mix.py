@@ -56,18 +56,21 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return each.withColumn("found", found).select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("found")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix-1:", ranges: int = 2048, whole: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target (its source's), taken, epochs and row_hash for each row of doc_id, text and source.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix-1:", ranges: int = 2048, whole: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target (its source's), taken, copies and the columns `carry`, for each row of doc_id, text and source.
+
+    copies: complete epochs, and one more for a document that gives words to the fraction.
 
     whole: the document at the edge is taken whole when at least half of it is missing, else not at all."""
     size = words(F.col("text"))
-    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("row_hash"), size.alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("text"), size)).alias("key"))
+    kept = [F.col(f"`{c}`").alias(f"carry_{k}") for k, c in enumerate(carry)]
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("row_hash"), *kept, size.alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("text"), size)).alias("key"))
     rows = rows.withColumn("range", F.floor(F.col("key") / (1.0 + F.col("key")) * ranges).cast("int"))
     goals = targets(rows, weights, share, most)
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     run = Window.partitionBy("source").orderBy("range")
     sums = sums.withColumn("before", F.sum("range_size").over(run) - F.col("range_size")).alias("s").join(goals.alias("g"), F.expr("s.source <=> g.source")).select("s.source", "s.range", "before", "source_size", "target")
-    rows = rows.alias("r").join(sums.alias("s"), F.expr("r.source <=> s.source and r.range = s.range")).select("doc_id", "r.source", "r.range", "row_hash", "size", "key", "before", "source_size", "target")
+    rows = rows.alias("r").join(sums.alias("s"), F.expr("r.source <=> s.source and r.range = s.range")).select("doc_id", "r.source", "r.range", "row_hash", "size", "key", "before", "source_size", "target", *[f"carry_{k}" for k in range(len(carry))])
     order = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "row_hash")
     start = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -76,11 +79,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     if whole:
         part = F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
     rows = rows.withColumn("start", start).withColumn("epochs", epochs.cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "epochs", "row_hash")
+    copies = F.col("epochs") + (part > 0).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), copies.alias("copies"), *[F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry) if c not in ("doc_id", "size", "source_size", "target")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("epochs", "row_hash")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")
 
 
 ORACLE = r"""
