@@ -1 +1,6 @@
-"""Subpackage of the engine."""
+"""The engine's own queries over the driver's tables, by name, and SQL that gives the same rows."""
+
+from . import scores
+
+QUERIES = {**scores.QUERIES}
+ORACLES = {**scores.ORACLES}
