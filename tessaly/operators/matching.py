@@ -88,4 +88,4 @@ def matched(weights: Column, by_count: bool = False) -> Column:
         for batch in batches:
             yield batch.map(lambda w: [] if w is None else [{"i": i, "j": j} for i, j in best_pairs([[None if x is None or x != x else float(x) for x in r] for r in w], by_count)])
 
-    return run.asNondeterministic()(weights)  # so that no projection repeats it
+    return run(weights)

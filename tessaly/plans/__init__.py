@@ -1,6 +1,6 @@
 """The engine's own queries over the driver's tables, by name, and SQL that gives the same rows."""
 
-from . import scores
+from . import scores, texts
 
-QUERIES = {**scores.QUERIES}
-ORACLES = {**scores.ORACLES}
+QUERIES = {**scores.QUERIES, **texts.QUERIES}
+ORACLES = {**scores.ORACLES, **texts.ORACLES}

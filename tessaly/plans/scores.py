@@ -98,7 +98,8 @@ def match_weight_score(spark, sf_dir):
 
 
 def match_cardinality(spark, sf_dir):
-    return S.sample_scores(samples(spark, sf_dir), by_count=True).select("sample_id", F.col("n_matched").alias("most"))
+    s = S.sample_scores(samples(spark, sf_dir), by_count=True)
+    return s.select("sample_id", F.when(F.col("total") >= 0, F.col("n_matched")).alias("most"))
 
 
 def sample_score(spark, sf_dir):
