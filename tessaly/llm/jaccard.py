@@ -5,11 +5,13 @@ d(n) = n - ceil(t * n) of them in a partner. The prefix is extended to the 2 d(n
 then share at least k(n) = d(n) + 1 tokens of their prefixes, n being the smaller size. Only prefixes are exchanged.
 
 1. Blocks keep each set's fingerprint, size and prefix. How often a prefix token occurs is counted by a packed exchange
-   over all documents. A set with fewer than k tokens that any other set has is linked with nothing.
-2. Rare tokens, at most `rare` occurrences, are indexed alone: if any common token is rare, one of them is among the
-   first of the prefix in order of frequency. Else all k common tokens are frequent. Those are dealt by hash into a number
-   of classes below k (a power of two that both sizes agree on), so two common ones meet in one class: a set indexes
-   the pairs of its frequent tokens within each class. No key is dropped and no list is cut.
+   over all documents. A set with fewer than k tokens that any other set has is linked with nothing; the others are
+   built whole, and their tokens counted among themselves by another exchange.
+2. Tokens are ordered by frequency, rare ones first. Rare tokens, below `rare` occurrences, are indexed alone: if the
+   first common token is rare, it is among the first d(n) + 1. Else all common tokens are frequent: the prefix is
+   extended by a number of classes g (a power of two that both sizes agree on), among d(n) + 1 + g tokens at least
+   g + 1 are common, dealt by hash into g classes two of them meet, and a set indexes the pairs of its frequent tokens
+   within each class. No key is dropped and no list is cut.
 3. Lists don't become pairs. In each list every set is first compared with one leader; the links found make groups; this
    is done again between groups with other leaders; only what remains of lists that still span groups is paired, and
    only across groups. Pairs inside a group can't change it. So a large family of near copies costs comparisons in
@@ -96,7 +98,7 @@ class Rule:
 
     def classes(self, n: int) -> list[int]:
         """Numbers of classes under which a set of n tokens is indexed: one for each that it may share with a partner."""
-        return sorted({1 << (x.bit_length() - 1) if x else 0 for x in (self.lost(m) for m in range(self.least(n), n + 1))})
+        return sorted({1 << max(1, self.lost(m) // 4).bit_length() - 1 for m in range(self.least(n), n + 1)})
 
 
 def pack48(tokens: np.ndarray) -> bytes:
@@ -145,60 +147,92 @@ def token_keys(row: dict) -> np.ndarray:
     return mix(unpack48(row["tokens"]))
 
 
-def keys_of(tokens: np.ndarray, often: np.ndarray, n: int, rule: Rule, rare: int) -> np.ndarray:
-    """The index keys of a set of n tokens: its prefix, and how often else each token of it occurs."""
-    k = rule.common(n)
-    if (often > 0).sum() < k:
-        return np.zeros(0, np.uint64)
-    order = np.lexsort((tokens, often))[: max(1, len(tokens) - k + 1)]
-    alone = order[(often[order] > 0) & (often[order] < rare)]
-    out = [mix(tokens[alone])]
-    hot = np.sort(tokens[often >= rare])
-    if len(hot) >= k:
-        for g in rule.classes(n):
-            if not g:
-                out.append(mix(hot ^ np.uint64(1 << 60)))
-                continue
-            cls = (mix(hot) >> np.uint64(20)).astype(np.int64) & (g - 1)
-            by = np.argsort(cls, kind="stable")
-            t, c = hot[by], cls[by]
-            for step in range(1, len(t)):
-                same = np.flatnonzero(c[step:] == c[:-step])
-                if not len(same):
-                    break
-                out.append(mix(mix(t[same] + np.uint64(g << 50)) + t[same + step]))
+def survivors(blocks_: DataFrame, rule: Rule, owners: int) -> DataFrame:
+    """mark of each set with enough prefix tokens that occur again."""
+    told = exchange.answers(blocks_, token_keys, ["tokens"], owners)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                tokens = unpack48(row["tokens"])
+                again = exchange.unpack(mix(tokens), row["answer"], owners)
+                own = np.array(row["own"], bool)
+                size = np.array(row["sizes"], np.int64)[own]
+                cuts = np.append(0, np.cumsum(rule.prefix(size)))
+                shared = np.diff(np.append(0, np.cumsum(again, dtype=np.int64))[cuts])
+                marks = [m for m, o in zip(row["marks"], own, strict=True) if o]
+                yield pa.RecordBatch.from_arrays([pa.array([marks[k] for k in np.flatnonzero(shared >= rule.common(size))], pa.binary())], ["mark"])
+
+    joined = blocks_.select("block", "sizes", "marks", "own", "tokens").join(told, "block", "left")
+    return stored(joined.mapInArrow(run, "mark binary").distinct(), "survivors")
+
+
+def keys_of(tokens: np.ndarray, often: np.ndarray, rule: Rule, rare: int) -> np.ndarray:
+    """The index keys of a whole set: how often else does each token occur?"""
+    n = len(tokens)
+    lost = int(rule.lost(n))
+    order = np.lexsort((tokens, often))
+    alone = order[: lost + 1]
+    out = [mix(tokens[alone[(often[alone] > 0) & (often[alone] < rare)]])]
+    for g in rule.classes(n):
+        first = order[: lost + 1 + g]
+        hot = np.sort(tokens[first[often[first] >= rare]])
+        cls = (mix(hot) >> np.uint64(20)).astype(np.int64) & (g - 1)
+        by = np.argsort(cls, kind="stable")
+        t, c = hot[by], cls[by]
+        for step in range(1, len(t)):
+            same = np.flatnonzero(c[step:] == c[:-step])
+            if not len(same):
+                break
+            out.append(mix(mix(t[same] + np.uint64(g << 50)) + t[same + step]))
     return np.unique(np.concatenate(out))
 
 
-def index(blocks_: DataFrame, rule: Rule, owners: int, rare: int) -> DataFrame:
-    """key, mark, n: what sets are indexed under."""
-    told = exchange.answers(blocks_, token_keys, ["tokens"], owners, 254)
+def index(full: DataFrame, rule: Rule, owners: int, rare: int, block_tokens: int) -> DataFrame:
+    """key, mark, n: what sets are indexed under, in lists of two sets at least."""
+    names = ["block", "marks", "sizes", "tokens"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, sizes, tokens, count = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array([TaskContext.get().partitionId() << 32 | count]), pa.array([marks], pa.list_(pa.binary())), pa.array([sizes], pa.list_(pa.int32())), pa.array([b"".join(tokens)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names)
+
+        for batch in batches:
+            for mark, body in zip(batch.column("mark").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                marks.append(mark)
+                sizes.append(len(body) // 8)
+                tokens.append(pack48(np.frombuffer(body, "<u8") & LOW48))
+                if sum(sizes[-1:]) and len(marks) % 64 == 0 and sum(sizes) >= block_tokens:
+                    yield out()
+                    marks, sizes, tokens, count = [], [], [], count + 1
+        if marks:
+            yield out()
+
+    held = stored(full.mapInArrow(gather, "block long, marks array<binary>, sizes array<int>, tokens binary"), "set-blocks")
+    told = exchange.answers(held, token_keys, ["tokens"], owners, 254)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 tokens = unpack48(row["tokens"])
                 often = exchange.unpack(mix(tokens), row["answer"], owners, 254)
-                at, keys, marks, sizes = 0, [], [], []
-                for n, mark, own in zip(row["sizes"], row["marks"], row["own"], strict=True):
-                    if own:
-                        to = at + int(rule.prefix(n))
-                        if len(got := keys_of(tokens[at:to], often[at:to], n, rule, rare)):
-                            keys.append(got.view(np.int64))
-                            marks += [mark] * len(got)
-                            sizes.append(np.full(len(got), n, np.int32))
-                        at = to
-                    if sum(map(len, keys[-1:])) and len(marks) > 100_000:
+                at, keys, marks, sizes, last = 0, [], [], [], len(row["marks"]) - 1
+                for k, (n, mark) in enumerate(zip(row["sizes"], row["marks"], strict=True)):
+                    if len(got := keys_of(tokens[at : at + n], often[at : at + n], rule, rare)):
+                        keys.append(got.view(np.int64))
+                        marks += [mark] * len(got)
+                        sizes.append(np.full(len(got), n, np.int32))
+                    at += n
+                    if keys and (len(marks) > 100_000 or k == last):
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(marks, pa.binary()), pa.array(np.concatenate(sizes))], ["key", "mark", "n"])
                         keys, marks, sizes = [], [], []
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(marks, pa.binary()), pa.array(np.concatenate(sizes))], ["key", "mark", "n"])
 
-    joined = blocks_.select("block", "sizes", "marks", "own", "tokens").join(told, "block", "left")
-    found = joined.mapInArrow(run, "key long, mark binary, n int")
+    found = stored(held.join(told, "block", "left").select("marks", "sizes", "tokens", "answer").mapInArrow(run, "key long, mark binary, n int"), "index")
     # Keys that a single set has are gone after the partial counts: no list is gathered.
     shared = found.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
-    return stored(stored(found, "index").join(shared.select("key"), "key", "left_semi"), "lists")
+    return stored(found.join(shared.select("key"), "key", "left_semi"), "lists")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int = 25) -> DataFrame:
@@ -252,13 +286,15 @@ def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, rare: int = 24,
     stored_ = blocks(docs, shingle, rule, block_tokens)
     total = stored_.agg(F.sum(F.length("tokens") / 6)).first()[0] or 0
     owners = max(partitions(docs.sparkSession), int(total) // (4 << 20))
-    lists = index(stored_, rule, owners, rare)
+    live = survivors(stored_, rule, owners)
     members = stored_.select(F.explode(F.arrays_zip("ids", "sizes", "marks")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n"), F.col("x.marks").alias("mark"))
-    wanted = members.where("mark is not null").join(lists.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc_id"))
+    wanted = members.where("mark is not null").join(live, "mark", "left_semi").groupBy("mark").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc_id"))
     full = whole_sets(docs, wanted, shingle)
+    count = full.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
+    lists = index(full, rule, max(partitions(docs.sparkSession), int(count) // (4 << 20)), rare, block_tokens)
 
     near = f"least(nu, nv) * 100 >= greatest(nu, nv) * {percent}"
-    links, roots = None, None
+    roots = None
     for step in range(rounds + 1):
         rows = lists.withColumn("group", F.col("mark"))
         if roots is not None:
@@ -266,6 +302,8 @@ def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, rare: int = 24,
             open_ = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
             rows = stored(rows.join(open_, "key", "left_semi"), "lists")
             lists = rows.select("key", "mark", "n")
+            if lists.isEmpty():
+                break
         v = rows.select("key", F.col("mark").alias("v"), F.col("n").alias("nv"), F.col("group").alias("gv"))
         if step < rounds:
             # Another leader of each list in each round, and one of each size range, so that leaders are comparable.
@@ -279,8 +317,10 @@ def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, rare: int = 24,
             pairs = v.join(rows.select("key", F.col("mark").alias("u"), F.col("n").alias("nu"), F.col("group").alias("gu")), "key")
         pairs = pairs.where(f"gu <> gv and {near}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = stored(verified(pairs, full, percent), "links")
-        links = new if links is None else stored(links.union(new), "links")
-        roots = components(links)
+        if roots is None:
+            roots = components(new)
+        elif not new.isEmpty():  # what was joined before goes on as a star
+            roots = components(new.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     rows = members.join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left").select("doc_id", "n", "mark", F.coalesce("root", "mark").alias("root"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "root", "left")
