@@ -7,12 +7,15 @@ then share at least k(n) = d(n) + 1 tokens of their prefixes, n being the smalle
 1. Blocks keep each set's fingerprint, size and prefix. How often a prefix token occurs is counted by a packed exchange
    over all documents. A set with fewer than k tokens that any other set has is linked with nothing; the others are
    built whole, and their tokens counted among themselves by another exchange.
-2. Tokens are ordered by frequency, rare ones first. Rare tokens, below `rare` occurrences, are indexed alone: if the
-   first common token is rare, it is among the first d(n) + 1. Else all common tokens are frequent: the prefix is
-   extended by a number of classes g (a power of two that both sizes agree on), among d(n) + 1 + g tokens at least
-   g + 1 are common, dealt by hash into g classes two of them meet, and a set indexes the pairs of its frequent tokens
-   within each class. No key is dropped and no list is cut.
-3. Lists don't become pairs. In each list every set is first compared with one leader; the links found make groups; this
+2. Tokens are ordered by frequency, rare ones first. Partners of sizes m <= n share at least a(m, n) = ceil(t / (1 + t)
+   (m + n)) tokens, so the first m - a(m, m) + 1 of the smaller and n - a(m, n) + 1 of the larger one meet. Sets are
+   indexed by narrow bands of the smaller one's size: once as the smaller, and in each band that it may probe as the
+   larger one, with the prefix that the band needs. Rare tokens, below `rare` occurrences, are indexed alone: if the
+   first common token is rare, it is in both prefixes. Else all common tokens are frequent: the prefixes are extended
+   by a number of classes g, which the band fixes, so at least g + 1 tokens in them are common; dealt by hash into g
+   classes two of them meet, and a set indexes the pairs of its frequent tokens within each class. No key is dropped
+   and no list is cut.
+3. Lists don't become pairs. In each list every set is first compared with one leader, a smaller one; the links found make groups; this
    is done again between groups with other leaders; only what remains of lists that still span groups is paired, and
    only across groups. Pairs inside a group can't change it. So a large family of near copies costs comparisons in
    proportion to its size.
@@ -96,9 +99,24 @@ class Rule:
         """Prefix tokens shared with any partner."""
         return self.lost(self.least(n)) + 1
 
-    def classes(self, n: int) -> list[int]:
-        """Numbers of classes under which a set of n tokens is indexed: one for each that it may share with a partner."""
-        return sorted({1 << max(1, self.lost(m) // 4).bit_length() - 1 for m in range(self.least(n), n + 1)})
+    def shared(self, m: int, n: int) -> int:
+        """Common tokens of similar sets of m and n."""
+        return -(-(m + n) * self.percent // (100 + self.percent))
+
+    def band(self, n: int) -> int:
+        return int(np.log(n) / np.log(1.03) + 1e-9)
+
+    def bands(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, smallest partner in it, classes) of the smaller partners of a set of n tokens."""
+        out, m = [], self.least(n)
+        while m <= n:
+            b = self.band(m)
+            floor = int(np.ceil(1.03**b - 1e-6))
+            out.append((b, m, 1 << max(1, (floor - self.shared(floor, floor)) // 4).bit_length() - 1))
+            m = max(m + 1, int(np.ceil(1.03 ** (b + 1) - 1e-6)))
+            while self.band(m - 1) > b and m - 1 > out[-1][1]:
+                m -= 1
+        return out
 
 
 def pack48(tokens: np.ndarray) -> bytes:
@@ -167,29 +185,38 @@ def survivors(blocks_: DataFrame, rule: Rule, owners: int) -> DataFrame:
     return stored(joined.mapInArrow(run, "mark binary").distinct(), "survivors")
 
 
-def keys_of(tokens: np.ndarray, often: np.ndarray, rule: Rule, rare: int) -> np.ndarray:
-    """The index keys of a whole set: how often else does each token occur?"""
+def _keys(tokens: np.ndarray, often: np.ndarray, order: np.ndarray, lost: int, band: int, g: int, rare: int) -> np.ndarray:
+    alone = order[: lost + 1]
+    salt = mix(np.array([band], np.uint64))
+    out = [mix(tokens[alone[(often[alone] > 0) & (often[alone] < rare)]] ^ salt)]
+    first = order[: lost + 1 + g]
+    hot = np.sort(tokens[first[often[first] >= rare]])
+    cls = (mix(hot) >> np.uint64(20)).astype(np.int64) & (g - 1)
+    by = np.argsort(cls, kind="stable")
+    t, c = hot[by], cls[by]
+    for step in range(1, len(t)):
+        same = np.flatnonzero(c[step:] == c[:-step])
+        if not len(same):
+            break
+        out.append(mix(mix(t[same] ^ ~salt) + t[same + step]))
+    return np.concatenate(out)
+
+
+def keys_of(tokens: np.ndarray, often: np.ndarray, rule: Rule, rare: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index keys of a whole set, and which of them it has as the smaller partner. often: how often else a token occurs."""
     n = len(tokens)
-    lost = int(rule.lost(n))
     order = np.lexsort((tokens, often))
-    alone = order[: lost + 1]
-    out = [mix(tokens[alone[(often[alone] > 0) & (often[alone] < rare)]])]
-    for g in rule.classes(n):
-        first = order[: lost + 1 + g]
-        hot = np.sort(tokens[first[often[first] >= rare]])
-        cls = (mix(hot) >> np.uint64(20)).astype(np.int64) & (g - 1)
-        by = np.argsort(cls, kind="stable")
-        t, c = hot[by], cls[by]
-        for step in range(1, len(t)):
-            same = np.flatnonzero(c[step:] == c[:-step])
-            if not len(same):
-                break
-            out.append(mix(mix(t[same] + np.uint64(g << 50)) + t[same + step]))
-    return np.unique(np.concatenate(out))
+    keys, small = [], []
+    for band, m, g in rule.bands(n):
+        large = _keys(tokens, often, order, n - rule.shared(m, n), band, g, rare)
+        own = _keys(tokens, often, order, n - rule.shared(n, n), band, g, rare) if band == rule.band(n) else large[:0]
+        keys.append(large)
+        small.append(np.isin(large, own))
+    return np.concatenate(keys), np.concatenate(small)
 
 
 def index(full: DataFrame, rule: Rule, owners: int, rare: int, block_tokens: int) -> DataFrame:
-    """key, mark, n: what sets are indexed under, in lists of two sets at least."""
+    """key, mark, n, small: what sets are indexed under, in lists of two sets at least, one of them as the smaller."""
     names = ["block", "marks", "sizes", "tokens"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,20 +245,22 @@ def index(full: DataFrame, rule: Rule, owners: int, rare: int, block_tokens: int
             for row in batch.to_pylist():
                 tokens = unpack48(row["tokens"])
                 often = exchange.unpack(mix(tokens), row["answer"], owners, 254)
-                at, keys, marks, sizes, last = 0, [], [], [], len(row["marks"]) - 1
+                at, keys, marks, sizes, small, last = 0, [], [], [], [], len(row["marks"]) - 1
                 for k, (n, mark) in enumerate(zip(row["sizes"], row["marks"], strict=True)):
-                    if len(got := keys_of(tokens[at : at + n], often[at : at + n], rule, rare)):
+                    got, role = keys_of(tokens[at : at + n], often[at : at + n], rule, rare)
+                    if len(got):
                         keys.append(got.view(np.int64))
+                        small.append(role)
                         marks += [mark] * len(got)
                         sizes.append(np.full(len(got), n, np.int32))
                     at += n
                     if keys and (len(marks) > 100_000 or k == last):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(marks, pa.binary()), pa.array(np.concatenate(sizes))], ["key", "mark", "n"])
-                        keys, marks, sizes = [], [], []
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(marks, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(small))], ["key", "mark", "n", "small"])
+                        keys, marks, sizes, small = [], [], [], []
 
-    found = stored(held.join(told, "block", "left").select("marks", "sizes", "tokens", "answer").mapInArrow(run, "key long, mark binary, n int"), "index")
+    found = stored(held.join(told, "block", "left").select("marks", "sizes", "tokens", "answer").mapInArrow(run, "key long, mark binary, n int, small boolean"), "index")
     # Keys that a single set has are gone after the partial counts: no list is gathered.
-    shared = found.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
+    shared = found.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.max("small").alias("small")).where("low <> high and small")
     return stored(found.join(shared.select("key"), "key", "left_semi"), "lists")
 
 
@@ -298,23 +327,21 @@ def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, rare: int = 24,
     for step in range(rounds + 1):
         rows = lists.withColumn("group", F.col("mark"))
         if roots is not None:
-            rows = lists.join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left").select("key", "mark", "n", F.coalesce("root", "mark").alias("group"))
+            rows = lists.join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left").select("key", "mark", "n", "small", F.coalesce("root", "mark").alias("group"))
             open_ = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
             rows = stored(rows.join(open_, "key", "left_semi"), "lists")
-            lists = rows.select("key", "mark", "n")
+            lists = rows.select("key", "mark", "n", "small")
             if lists.isEmpty():
                 break
         v = rows.select("key", F.col("mark").alias("v"), F.col("n").alias("nv"), F.col("group").alias("gv"))
+        u = rows.where("small").select("key", F.col("mark").alias("u"), F.col("n").alias("nu"), F.col("group").alias("gu"))
         if step < rounds:
-            # Another leader of each list in each round, and one of each size range, so that leaders are comparable.
-            lead = F.struct(F.xxhash64("mark", F.lit(step)).alias("h"), F.col("mark").alias("u"), F.col("n").alias("nu"), F.col("group").alias("gu"))
-            span = F.floor(F.log("n") / float(np.log(100 / percent)) + step / rounds).alias("span")
-            leaders = rows.groupBy("key", span).agg(F.min(lead).alias("lead")).select("key", F.col("span").alias("s"), "lead.*")
-            v = v.withColumn("s", F.floor(F.log("nv") / float(np.log(100 / percent)) + step / rounds))
-            pairs = v.join(leaders.drop("h"), ["key", "s"])
+            # Another leader of each list in each round.
+            lead = F.min(F.struct(F.xxhash64("u", F.lit(step)).alias("h"), "u", "nu", "gu")).alias("lead")
+            pairs = v.join(u.groupBy("key").agg(lead).select("key", "lead.u", "lead.nu", "lead.gu"), "key")
         else:
             # What still spans groups, across groups only.
-            pairs = v.join(rows.select("key", F.col("mark").alias("u"), F.col("n").alias("nu"), F.col("group").alias("gu")), "key")
+            pairs = v.join(u, "key").where("nu <= nv")
         pairs = pairs.where(f"gu <> gv and {near}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = stored(verified(pairs, full, percent), "links")
         if roots is None:
