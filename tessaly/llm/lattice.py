@@ -32,6 +32,7 @@ from ._shared import LOWER, mix, partitions, raw, slices, stored, word_hashes, w
 from .exchange import golomb, ungolomb
 
 _made: dict = {}
+CHUNK = 512
 BLOCK = "block long, ids array<long>, held array<boolean>, sizes array<int>, pairs binary, times binary, hashes binary, lengths binary, letters binary, counts binary"
 
 
@@ -264,22 +265,29 @@ def trained(vocabulary: DataFrame, path: str, rounds: int) -> np.ndarray:
         held = weights
 
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own = pieces(path)
+            own, total = pieces(path), None
             for batch in batches:
                 for row in batch.to_pylist():
                     counts, size = _unz(row["counts"], "<i8"), _unz(row["lengths"], "<u4").astype(np.int64)
                     letters = _unz(row["letters"], np.uint8)
                     seen = counts > 0
                     _, used = likelihood(own, held, letters[np.repeat(seen, size)], size[seen], np.ones(int(seen.sum())))
-                    at = np.flatnonzero(used)
-                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(used[at])], ["piece", "used"])
+                    total = used if total is None else total + used
+            if total is not None:
+                cuts = range(0, len(total), CHUNK)
+                yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array([total[c : c + CHUNK].astype("<f8").tobytes() for c in cuts], pa.binary())], ["first", "used"])
 
-        got = vocabulary.select("lengths", "letters", "counts").mapInArrow(expect, "piece int, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect()
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            total = np.sum([np.frombuffer(x, "<f8") for x in frame["used"]], axis=0)
+            return pd.DataFrame({"first": [int(frame["first"].iloc[0])], "used": [total.tobytes()]})
+
+        kind = "first int, used binary"
+        got = vocabulary.select("lengths", "letters", "counts").mapInArrow(expect, kind).groupBy("first").applyInPandas(add, kind).collect()
         if not got:
             break
         used = np.full(len(weights), 0.05)
         for r in got:
-            used[r.piece] += r.used
+            used[r["first"] : r["first"] + CHUNK] += np.frombuffer(r.used, "<f8")
         weights = np.log(used / used.sum())
     return weights
 
