@@ -80,8 +80,8 @@ def best_window(name: Column, t: Column, marks: str, longest: int, goal: int, ed
     text = ustrip(t)
     parts = F.filter(pieces(text, marks), lambda x: F.length(ustrip(x)) > 0)
     grams = bigrams(name)
-    # (start, end) in clauses; only windows within the bound are made.
-    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda a: F.transform(F.sequence(F.lit(1), F.size(parts) - a + 1), lambda n: F.struct(a.alias("a"), F.array_join(F.slice(parts, a, n), "").alias("x")))))
+    # A clause has a character at least, so no window has more clauses than the bound has characters.
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - a + 1, F.lit(longest))), lambda n: F.struct(a.alias("a"), F.array_join(F.slice(parts, a, n), "").alias("x")))))
     fit = F.filter(windows, lambda w: F.length(w["x"]) <= longest)
     rated = F.transform(fit, lambda w, i: F.struct(F.size(F.filter(grams, lambda g: F.contains(w["x"], g))).alias("n"), (-F.abs(F.length(w["x"]) - goal)).alias("d"), (-i).alias("i"), w["x"].alias("x")))
     best = F.regexp_replace(F.array_max(rated)["x"], f"^[{edge}]+|[{edge}]+$", "")

@@ -235,6 +235,16 @@ SELECT doc_id, md5(CASE WHEN length(text) >= 60 THEN array_to_string(y, '') ELSE
     "regex_sentences": f"""
 WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?]+[。！？!?]?'), lambda s: {_strip('s')}), lambda s: length(s) >= 12) AS x FROM documents)
 SELECT doc_id, len(x)::INT AS n, md5(array_to_string(x, '|')) AS digest, coalesce(list_max(list_transform(x, lambda s: length(s))), 0)::INT AS longest FROM p""",
+    "trim_evidence": f"""
+WITH p AS (SELECT item_id, {_strip('text')} AS t, substr(text, 20, 10) AS name FROM benchmark
+), c AS (SELECT *, regexp_replace(name, '{_SPACE}', '', 'g') AS n, list_filter(regexp_extract_all(t, '[^,;. ]*[,;. ]|[^,;. ]+$'), lambda s: length({_strip('s')}) > 0) AS x FROM p
+), g AS (SELECT *, {_GRAMS.format('n')} AS g FROM c
+), s AS (SELECT item_id, g, x, unnest(range(1, len(x) + 1)) AS a FROM g
+), w AS (SELECT item_id, g, a, unnest(range(1, least(len(x) - a + 1, 64) + 1)) AS k, x FROM s
+), v AS (SELECT item_id, g, a, k, array_to_string(x[a:a + k - 1], '') AS y FROM w
+), r AS (SELECT item_id, y, row_number() OVER (PARTITION BY item_id ORDER BY len(list_filter(g, lambda z: contains(y, z))) DESC, abs(length(y) - 55), a, k) AS best FROM v WHERE length(y) <= 64
+), b AS (SELECT item_id, regexp_replace(y, '^[ ,，;；、:：]+|[ ,，;；、:：]+$', '', 'g') AS y FROM r WHERE best = 1)
+SELECT c.item_id, CASE WHEN length(t) <= 64 OR len(x) <= 1 OR coalesce(length(y), 0) = 0 THEN t ELSE y END AS kept FROM c LEFT JOIN b USING (item_id)""",
     "future_pointing": f"""
 WITH p AS (SELECT item_id, text, 'x' || item_id AS n FROM benchmark), g AS (SELECT *, {_GRAMS.format('n')} AS g FROM p)
 SELECT item_id, md5(CASE WHEN length(text) > 0 AND len(list_filter(g, lambda x: contains(text, x))) = 0 THEN '关于' || n || '，' || text ELSE text END) AS digest FROM g""",
