@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lcs
 from ..functions import text as T
-from ..operators import fuse, protocol, repair, segment
+from ..operators import align, fuse, protocol, repair, segment
+from . import texts
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,36 @@ def rouge_l(spark, sf_dir):
     return both.select("item_id", F.round(lcs.rouge_l(F.col("text"), F.col("other")), 6).alias("f1"))
 
 
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages in the documents that hold them, and a piece of each."""
+    p = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    held = texts.containment_pairs(spark, sf_dir).join(p, "item_id")
+    each = F.array(F.struct((F.col("item_id") * 2).alias("evidence_no"), F.col("text").alias("evidence")), F.struct((F.col("item_id") * 2 + 1).alias("evidence_no"), F.substring("text", 30, 25).alias("evidence")))
+    return held.select(F.col("doc_id").alias("sample_id"), F.explode(each).alias("e")).select("sample_id", "e.*")
+
+
+def _covers(spark, sf_dir):
+    evidence = _evidence(spark, sf_dir)
+    # Only documents with evidence are cut into sentences.
+    docs = _samples(spark, sf_dir).join(evidence.select("sample_id").distinct(), "sample_id", "left_semi")
+    return align.covers(segment.sentences(docs, segment.LATIN), docs, evidence)
+
+
+def minimal_cover(spark, sf_dir):
+    return _covers(spark, sf_dir).select("sample_id", "evidence_no", F.array_join("sids", ",").alias("sids"))
+
+
+def containment_stats(spark, sf_dir):
+    return align.containment(_covers(spark, sf_dir))
+
+
+def recover_ids(spark, sf_dir):
+    """Each document's second sentence, looked up again among all."""
+    s = _sentences(spark, sf_dir)
+    wanted = s.where("sent_no = 2").select("sample_id", F.lit(0).alias("text_no"), F.substring("text", 1, 20).alias("text"))
+    return align.recovered(s, wanted)
+
+
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reply for each document that cites its sentences in turn."""
     d = _samples(spark, sf_dir).select("sample_id")
@@ -127,7 +158,7 @@ def violations(lines: DataFrame) -> DataFrame:
     return r.withColumns({"broken": broken, "first": first}).select("line_no", F.explode(told).alias("rule"))
 
 
-QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, compile_protocol, json_repair, mbr_select, validate_rows)}
+QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, recover_ids, compile_protocol, json_repair, mbr_select, validate_rows)}
 QUERIES |= {"fuse_anchored": _fused(fuse.ANCHORED), "consensus_filter": _fused(fuse.CONSENSUS), "merge_candidates": _fused(fuse.UNION)}
 ORACLES = {
     "validate_rows": """
