@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lcs
 from ..functions import text as T
-from ..operators import align, fuse, protocol, repair, segment
+from ..operators import agreement, align, fuse, protocol, repair, segment
 from . import texts
 
 
@@ -127,6 +127,15 @@ def mbr_select(spark, sf_dir):
     return _variants(spark, sf_dir).select("conv_id", fuse.closest(F.col("v")).alias("variant"))
 
 
+def agreement_report(spark, sf_dir):
+    """The first variant of each conversation against the last one."""
+    v = _variants(spark, sf_dir)
+    side = lambda k: F.element_at(F.filter("v", lambda x: x["variant"] == k), 1)["issues"]
+    both = v.where(F.size("v") == 3).select(F.col("conv_id").alias("sample_id"), side(0).alias("a"), side(2).alias("b"))
+    r = agreement.report(both)
+    return r.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes])
+
+
 def validate_rows(spark, sf_dir):
     """Rules that raw lines of records break: bad JSON, keys, stances, blank names, evidence, lengths, repeated ids."""
     d = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -158,7 +167,7 @@ def violations(lines: DataFrame) -> DataFrame:
     return r.withColumns({"broken": broken, "first": first}).select("line_no", F.explode(told).alias("rule"))
 
 
-QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, recover_ids, compile_protocol, json_repair, mbr_select, validate_rows)}
+QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, recover_ids, compile_protocol, json_repair, mbr_select, agreement_report, validate_rows)}
 QUERIES |= {"fuse_anchored": _fused(fuse.ANCHORED), "consensus_filter": _fused(fuse.CONSENSUS), "merge_candidates": _fused(fuse.UNION)}
 ORACLES = {
     "validate_rows": """
