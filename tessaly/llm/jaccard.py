@@ -19,7 +19,9 @@ then share at least k(n) = d(n) + 1 tokens of their prefixes, n being the smalle
    is done again between groups with other leaders; only what remains of lists that still span groups is paired, and
    only across groups. Pairs inside a group can't change it. So a large family of near copies costs comparisons in
    proportion to its size.
-4. Candidates are verified on whole sets, which only documents in question build, from whole texts.
+4. A pair whose parity bitmaps (256 bits, each flipped once for each token that hashes to it) differ in more bits than
+   similar sets of their sizes may differ in tokens is no candidate: bits never differ in more places than tokens.
+   Candidates are verified on whole sets, which only documents in question build, from whole texts.
 
 Equal sets are one class from the start (128-bit fingerprints; shingles are 64-bit hashes of 64-bit word hashes).
 
@@ -215,8 +217,17 @@ def keys_of(tokens: np.ndarray, often: np.ndarray, rule: Rule, rare: int) -> tup
     return np.concatenate(keys), np.concatenate(small)
 
 
+BITS = ["b0", "b1", "b2", "b3"]
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the number of tokens that hash to it."""
+    cells = np.bincount((mix(tokens) >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(cells.astype(np.uint8)).view("<i8")
+
+
 def index(full: DataFrame, rule: Rule, owners: int, rare: int, block_tokens: int) -> DataFrame:
-    """key, mark, n, small: what sets are indexed under, in lists of two sets at least, one of them as the smaller."""
+    """key, mark, n, small and bits: what sets are indexed under, in lists of two sets at least, one of them as the smaller."""
     names = ["block", "marks", "sizes", "tokens"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,20 +256,21 @@ def index(full: DataFrame, rule: Rule, owners: int, rare: int, block_tokens: int
             for row in batch.to_pylist():
                 tokens = unpack48(row["tokens"])
                 often = exchange.unpack(mix(tokens), row["answer"], owners, 254)
-                at, keys, marks, sizes, small, last = 0, [], [], [], [], len(row["marks"]) - 1
+                at, keys, marks, sizes, small, bits, last = 0, [], [], [], [], [], len(row["marks"]) - 1
                 for k, (n, mark) in enumerate(zip(row["sizes"], row["marks"], strict=True)):
                     got, role = keys_of(tokens[at : at + n], often[at : at + n], rule, rare)
                     if len(got):
                         keys.append(got.view(np.int64))
                         small.append(role)
+                        bits.append(np.repeat(parity(tokens[at : at + n])[:, None], len(got), axis=1))
                         marks += [mark] * len(got)
                         sizes.append(np.full(len(got), n, np.int32))
                     at += n
                     if keys and (len(marks) > 100_000 or k == last):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(marks, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(small))], ["key", "mark", "n", "small"])
-                        keys, marks, sizes, small = [], [], [], []
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(marks, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(small)), *map(pa.array, np.concatenate(bits, axis=1))], ["key", "mark", "n", "small", *BITS])
+                        keys, marks, sizes, small, bits = [], [], [], [], []
 
-    found = stored(held.join(told, "block", "left").select("marks", "sizes", "tokens", "answer").mapInArrow(run, "key long, mark binary, n int, small boolean"), "index")
+    found = stored(held.join(told, "block", "left").select("marks", "sizes", "tokens", "answer").mapInArrow(run, "key long, mark binary, n int, small boolean, b0 long, b1 long, b2 long, b3 long"), "index")
     # Keys that a single set has are gone after the partial counts: no list is gathered.
     shared = found.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.max("small").alias("small")).where("low <> high and small")
     return stored(found.join(shared.select("key"), "key", "left_semi"), "lists")
@@ -322,23 +334,24 @@ def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, rare: int = 24,
     count = full.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
     lists = index(full, rule, max(partitions(docs.sparkSession), int(count) // (4 << 20)), rare, block_tokens)
 
-    near = f"least(nu, nv) * 100 >= greatest(nu, nv) * {percent}"
+    differ = " + ".join(f"bit_count(u{b} ^ v{b})" for b in BITS)
+    near = f"{differ} <= nu + nv - 2 * (((nu + nv) * {percent} + {99 + percent}) div {100 + percent}) and least(nu, nv) * 100 >= greatest(nu, nv) * {percent}"
     roots = None
     for step in range(rounds + 1):
         rows = lists.withColumn("group", F.col("mark"))
         if roots is not None:
-            rows = lists.join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left").select("key", "mark", "n", "small", F.coalesce("root", "mark").alias("group"))
+            rows = lists.join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left").select("key", "mark", "n", "small", *BITS, F.coalesce("root", "mark").alias("group"))
             open_ = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
             rows = stored(rows.join(open_, "key", "left_semi"), "lists")
-            lists = rows.select("key", "mark", "n", "small")
+            lists = rows.drop("group")
             if lists.isEmpty():
                 break
-        v = rows.select("key", F.col("mark").alias("v"), F.col("n").alias("nv"), F.col("group").alias("gv"))
-        u = rows.where("small").select("key", F.col("mark").alias("u"), F.col("n").alias("nu"), F.col("group").alias("gu"))
+        v = rows.select("key", F.col("mark").alias("v"), F.col("n").alias("nv"), F.col("group").alias("gv"), *[F.col(b).alias(f"v{b}") for b in BITS])
+        u = rows.where("small").select("key", F.col("mark").alias("u"), F.col("n").alias("nu"), F.col("group").alias("gu"), *[F.col(b).alias(f"u{b}") for b in BITS])
         if step < rounds:
             # Another leader of each list in each round.
-            lead = F.min(F.struct(F.xxhash64("u", F.lit(step)).alias("h"), "u", "nu", "gu")).alias("lead")
-            pairs = v.join(u.groupBy("key").agg(lead).select("key", "lead.u", "lead.nu", "lead.gu"), "key")
+            lead = F.min(F.struct(F.xxhash64("u", F.lit(step)).alias("h"), "u", "nu", "gu", *[f"u{b}" for b in BITS])).alias("lead")
+            pairs = v.join(u.groupBy("key").agg(lead).select("key", "lead.*").drop("h"), "key")
         else:
             # What still spans groups, across groups only.
             pairs = v.join(u, "key").where("nu <= nv")
