@@ -41,8 +41,8 @@ def best(ids: np.ndarray, queries: np.ndarray, own: np.ndarray, shard: np.ndarra
     order = np.argsort(own, kind="stable")
     own, shard = own[order], shard[order]
     found = scores(queries, shard)
-    if len(own) > k + 1:  # one of them may be the query's own
-        rough = np.partition(found, len(own) - k - 1, axis=1)[:, len(own) - k - 1]
+    if len(own) > k:  # any number of them may be the query's own, which go last
+        rough = np.partition(np.where(ids[:, None] == own, LONG[0], found), len(own) - k, axis=1)[:, len(own) - k]
         q, c = np.nonzero(found >= rough[:, None])
     else:
         q, c = np.nonzero(np.ones(found.shape, bool))

@@ -27,6 +27,18 @@ def test_against_brute_force(spark):
     assert topk.search(empty, F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_a_query_id_on_many_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rng.normal(size=4).round(1)]) for i in range(1, 200) if i not in (50, 100)]
+    rows += [(50, [9.0 + j, 9.0, 9.0, 9.0]) for j in range(8)] + [(100, [5.0, 5.0, 5.0, 5.0])] * 90  # all above every other row
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = topk.search(table, F.col("vec_id") % 50 == 0, shard=300)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 5, lambda i: i % 50 == 0))
+    own = np.array([50] * 6 + list(range(1, 20)))
+    ids, found, _ = topk.best(np.array([50]), np.ones((1, 2)), own, np.c_[np.r_[np.full(6, 99.0), np.arange(19)], np.ones(25)], 5)
+    assert list(ids) == [50] * 5 and list(found) == [19, 18, 17, 16, 15]
+
+
 def test_large_components_stay_exact():
     a = np.array([[1e12 + 0.5, -3.25]])
     want = math.floor(256 * a[0, 0]) ** 2 + math.floor(256 * a[0, 1]) ** 2
