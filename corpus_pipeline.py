@@ -1,6 +1,7 @@
 """A training corpus from raw documents in five stages, each an operator of tessaly.llm over all that the one before kept.
 
-1. language_id: documents whose language no dictionary tells, or by too narrow a margin, go.
+1. language_id: documents whose language no dictionary tells, or by too narrow a margin for
+   their size (a score of 0.5 at most, see langid), go; short ones are told as well as long ones.
 2. exact_dedup: of texts equal without white space one stays, the longest, then the smallest id.
 3. near_dedup: of documents linked by sets of five-word shingles at a Jaccard similarity of 0.8 one stays, the smallest id.
 4. mix_sources: sources are mixed to target weights; a document taken more than once is repeated. Documents are whole.

@@ -3,11 +3,14 @@
 A bounded sample of labelled texts (at most `texts` of each language, `chars` characters of each, drawn by a hash of the
 id) becomes one raw-content zstandard dictionary for each language. A text is cut into chunks of `chunk` bytes, so that
 the dictionary keeps its weight in long texts; all chunks of the whole text are compressed with every dictionary and the
-sizes summed. The score is the best language's share when each compressed bit halves the odds; a narrow margin gives a
-low score. Labels are read for learning only; there is one dictionary for each label, so their number must be small.
+sizes summed. The margin is the runner-up's excess as a share of the smallest size. Where it is narrow (under NARROW), or
+the text is short (under SHORT bytes: compressed sizes are whole bytes and tie), the dictionaries' byte trigrams, without
+case, decide instead, and the margin is the runner-up's excess in bits for each byte, narrow under BITS. With m the margin
+as a multiple of what is narrow, the score is m / (1 + m): 0 for a tie, 0.5 where a margin stops being narrow, whatever
+the text's size. Labels are read for learning only; there is one dictionary for each label, so their number must be small.
 
 Cases: null texts and texts without a letter are `und` with score 0, as is everything when nothing could be learned;
-ties go to the first language in code point order; repeated rows are each answered; other columns are ignored; an empty
+ties in both measures go to the first language in code point order with score 0, and an only language has score 1; repeated rows are each answered; other columns are ignored; an empty
 table gives no rows.
 """
 
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+NARROW, SHORT, BITS = 0.03, 256, 0.5
 _ready: dict = {}
 
 
@@ -41,7 +45,37 @@ def learn(labelled: DataFrame, texts: int = 150, chars: int = 2000, id_col: str
     return {k: b"\n".join(v) for k, v in out.items()}
 
 
-def _compressors(model: dict[str, bytes], level: int) -> list[tuple[str, object]]:
+def _grams(text: str) -> Iterator[np.ndarray]:
+    """The text's byte trigrams without case, as numbers, in pieces of bounded size."""
+    data = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
+    for k in range(0, len(data) - 2, 1 << 20):
+        a = data[k : k + (1 << 20) + 2].astype(np.int32)
+        yield (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
+
+
+class Trigrams:
+    """A language's bytes given the two before them, from its dictionary's counts with a little added to each."""
+
+    def __init__(self, data: bytes, add: float = 0.1):
+        grams = np.concatenate([*_grams(data.decode(errors="replace")), np.zeros(0, np.int32)])
+        self.add, self.tables = add, [np.unique(x, return_counts=True) for x in (grams, grams >> 8)]
+
+    def _count(self, table: int, x: np.ndarray) -> np.ndarray:
+        keys, counts = self.tables[table]
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        return np.where(keys[at] == x, counts[at], 0)
+
+    def bits(self, grams: np.ndarray) -> float:
+        return float(np.log2((self._count(1, grams >> 8) + 256 * self.add) / (self._count(0, grams) + self.add)).sum())
+
+
+def _margin(costs: np.ndarray) -> tuple[int, float]:
+    """The cheapest place, and by how much it leads."""
+    best = int(np.argmin(costs))
+    return best, float(np.delete(costs, best).min(initial=np.inf) - costs[best])
+
+
+def _compressors(model: dict[str, bytes], level: int) -> list[tuple[str, object, Trigrams]]:
     key = (tuple(sorted((k, hash(v)) for k, v in model.items())), level)
     if _ready.get("key") != key:
         import zstandard as z
@@ -50,7 +84,7 @@ def _compressors(model: dict[str, bytes], level: int) -> list[tuple[str, object]
         for lang, data in sorted(model.items()):
             words = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(level=level)
-            made.append((lang, z.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            made.append((lang, z.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False), Trigrams(data)))
         _ready.update(key=key, made=made)
     return _ready["made"]
 
@@ -72,10 +106,14 @@ def classify(docs: DataFrame, model: dict[str, bytes], chunk: int = 2048, level:
                     continue
                 data = text.encode()
                 parts = [data[k : k + chunk] for k in range(0, len(data), chunk)]
-                sizes = np.array([sum(len(c.compress(x)) for x in parts) for _, c in coders])
-                best = int(np.argmin(sizes))
+                sizes = np.array([sum(len(c.compress(x)) for x in parts) for _, c, _ in coders], float)
+                best, lead = _margin(sizes)
+                times = lead / sizes[best] / NARROW
+                if len(data) < SHORT or times < 1:
+                    best, lead = _margin(sum(np.array([t.bits(g) for *_, t in coders]) for g in _grams(text)))
+                    times = lead / len(data) / BITS
                 langs.append(coders[best][0])
-                scores.append(float(1 / np.exp2(np.clip(8.0 * (sizes[best] - sizes), -1000, 0)).sum()))
+                scores.append(1 - 1 / (1 + times))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return rows.mapInArrow(run, out)

@@ -1,5 +1,8 @@
+import base64
+import random
 import zlib
 
+import corpus_pipeline as pipeline
 from tessaly.llm import langid
 
 from .cases import SCHEMA, documents
@@ -28,3 +31,20 @@ def test_known_languages_and_awkward_documents(spark):
     assert langid.learn(spark.createDataFrame([], SCHEMA)) == {}
     assert {r.lang_pred for r in langid.classify(odd, {}).collect()} == {"und"}
     assert langid.classify(spark.createDataFrame([], SCHEMA), model).collect() == []
+
+
+def test_margins_are_relative_to_the_size(spark):
+    data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(data)
+    noise = [base64.b64encode(random.Random(k).randbytes(22500)).decode() for k in range(6)]
+    clean = [("The answer was with his for.", "en"), ("Die und nicht ein.", "de"), ("Éaux dans pour les.", "fr"), ("Que los una por ción.", "es"), ("This.", "en"), ("Avec.", "fr"), ("Erö.", "de")]
+    upper = [(r.text.upper(), r.lang) for r in data.where("length(text) between 1000 and 1500 and doc_id < 200").orderBy("doc_id").limit(20).collect()]
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([*clean, *upper, *((t, None) for t in noise)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = {r.doc_id: r for r in langid.classify(docs, model).collect()}
+    assert all(told[k].lang_pred == lang and told[k].score > 0.5 for k, _, lang in rows if lang)
+    assert all(told[k].score < 0.3 for k, _, lang in rows if not lang)
+    kept = pipeline.language_id(spark, data.unionByName(docs.withColumn("doc_id", docs.doc_id + 10**6)), "").where("doc_id >= 1000000").collect()
+    assert sorted(r.doc_id - 10**6 for r in kept) == [k for k, _, lang in rows if lang]
+    one = langid.classify(docs.where("doc_id < 3"), {"en": model["en"]}).collect()
+    assert {(r.lang_pred, r.score) for r in one} == {("en", 1.0)}
