@@ -18,6 +18,5 @@ ORACLES: dict[str, str] = {
     "op2_weighted_source_mix": mix.ORACLE,
     "op4_line_dedup": lines.ORACLE,
     "op7_golomb_exact_dedup": exact.ORACLE,
-    "op8_fm_index_substrings": substrings.query,
     "op9_tiled_top_k": topk.ORACLE,
 }
