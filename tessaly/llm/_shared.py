@@ -1,21 +1,28 @@
 """What the corpus operators share: the folder for intermediate tables, Arrow batches, word arrays and hashes.
 
+A worker's memory is bounded by three numbers: bytes of an Arrow batch (BATCH), bytes of text worked on at once (SLICE; a
+longer text alone), and the entries of tables that a worker keeps. What a task leaves free goes back to the system.
+
 Words are maximal runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return. All work
 is done on UTF-8 bytes: those separators never occur inside a multi-byte character.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE = 4 << 20
+SLICE = 1 << 19
+BATCH = 4 << 20
+BASE = 0xD1342543DE82EF95
 _M = np.uint64
 _tables: dict[str, np.ndarray] = {}
 WS = np.zeros(256, bool)
@@ -25,8 +32,10 @@ LOWER[65:91] += 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. A session without one (a test) gets a local one."""
+    """The folder that all executors share. A local session without one (a test) gets a local one; a cluster must name it."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not (found := getattr(spark, "_own_shared_folder", None)):
             found = spark._own_shared_folder = tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(found)
@@ -37,8 +46,50 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it back: a lost executor costs no recomputation beyond it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    small_batches(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again: all that was made from them is stored itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session are cut by bytes too, not by rows alone: rows here may hold a whole block of documents."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and would keep the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, giving memory back at its end. With block rows in, one row at a time comes in."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return held
+
+
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows that hold a block each, one by one."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -92,33 +143,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _M(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if "byte" not in _tables:
-        _tables["byte"] = mix(np.arange(1, 257, dtype=np.uint64) * _M(0x9E3779B97F4A7C15))
-    if len(_tables.get("up", ())) < n:
-        base = 0xD1342543DE82EF95
-        for key, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            run = np.full(n, x, np.uint64)
+def powers(n: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of a base and of its inverse; made once, for SLICE."""
+    if "up" not in _tables:
+        for key, x in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            run = np.full(SLICE + 1, x, np.uint64)
             run[:1] = 1
             _tables[key] = np.cumprod(run)
-    return _tables["byte"], _tables["up"], _tables["down"]
+    return _tables["up"][: n + 1], _tables["down"][: n + 1]
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+def byte_cells() -> np.ndarray:
+    if "byte" not in _tables:
+        _tables["byte"] = mix(np.arange(1, 257, dtype=np.uint64) * _M(0x9E3779B97F4A7C15))
+    return _tables["byte"]
+
+
+def _long_span(cells: np.ndarray, part: np.ndarray) -> int:
+    """The polynomial of a span of any length, chunk by chunk."""
+    up, total = powers()[0], 0
+    for a in range(0, len(part), SLICE):
+        x = cells[part[a : a + SLICE]]
+        total += int((x * up[: len(x)]).sum(dtype=np.uint64)) * pow(BASE, a, 1 << 64)
+    return total % (1 << 64)
+
+
+def span_hashes(cells: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of data, the same wherever it stands: a polynomial of its symbols' cells. Spans are in
+    order, apart; SLICE symbols at most are worked on at once."""
     out, at, n = np.empty(len(start), np.uint64), 0, len(start)
+    up, down = powers()
     while at < n:
-        to = max(at + 1, int(np.searchsorted(end, start[at] + SLICE, side="right")))
+        to = int(np.searchsorted(end, start[at] + SLICE, side="right"))
+        if to <= at:
+            out[at] = mix(np.array([_long_span(cells, data[start[at] : end[at]])], np.uint64) + _M(end[at] - start[at]))[0]
+            at += 1
+            continue
         a, b = int(start[at]), int(end[to - 1])
-        table, up, down = _powers(b - a + 1)
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(table[data[a:b]] * up[: b - a], out=sums[1:])
+        np.cumsum(cells[data[a:b]] * up[: b - a], out=sums[1:])
         s, e = start[at:to] - a, end[at:to] - a
         out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         at = to
     return out
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+    return span_hashes(byte_cells(), data, start, end)
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each n consecutive word hashes; in doubling steps."""
     if len(h) < n:

@@ -1,9 +1,10 @@
 """Token ids in grammar-compressed shards with random access.
 
 Documents are range-partitioned by id; each partition is a shard, encoded in order and cut into blocks of about
-`block_tokens` ids at document ends, so memory holds one block. A block's ids are compressed by recursive pairing: in
-each round the pairs of neighbouring symbols are counted, and where frequent pairs overlap the more frequent one wins;
-each winner becomes a nonterminal. The payload holds the rules, every rule's expansion length, and the remaining
+`block_tokens` ids at document ends, so memory holds one block, and each block has a grammar of its own: it is decoded
+alone. Its ids are compressed by recursive pairing: in each round the pairs of neighbouring symbols are counted, and where
+frequent pairs overlap the more frequent one wins; each winner becomes a nonterminal; rounds go on until no pair is
+frequent. The payload holds the rules, every rule's expansion length, and the remaining
 symbols, so any range of ids is found by the running sum of lengths and only the symbols that cover it are expanded.
 Payloads lie in a Parquet table in the shared folder, written through Spark's commit protocol: a repeated task replaces
 its output.
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import slices, stored
+from ._shared import block_rows, lean, slices, stored
 from .tokens import encoder
 
 MAGIC = b"RPG1"
@@ -33,40 +34,54 @@ HEAD = struct.Struct("<4sIIIB")
 SHARDS = "shard int, block int, start long, doc_ids array<long>, sizes array<long>, payload binary"
 
 
-def pair_up(ids: np.ndarray, least: int = 8, rounds: int = 10, gain: float = 0.03) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Symbols, rules (two symbols each), the rules' expansion lengths, and the first nonterminal."""
+def pair_up(ids: np.ndarray, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols, rules (two symbols each), the rules' expansion lengths, and the first nonterminal.
+
+    A pair is frequent if it occurs `least` times without overlapping itself; rounds go on until none is. A rule is made
+    where a pair wins half as often over its neighbours; when no pair does, the most frequent one is replaced alone."""
     base = int(ids.max()) + 1 if len(ids) else 0
     seq, rules, sizes, top = ids.astype(np.uint64), [], np.ones(base, np.int64), base
-    for _ in range(rounds):
+    while len(seq) > 1:
         n = len(seq)
-        if n < 2 * least:
-            break
         code = seq[:-1] << np.uint64(32) | seq[1:]
-        cell = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
-        maybe = np.flatnonzero(np.bincount(cell, minlength=1 << 22)[cell] >= least)
-        pairs, back, counts = np.unique(code[maybe], return_inverse=True, return_counts=True)
-        order = np.argsort(counts, kind="stable")
-        rank = np.empty(len(pairs), np.int64)
-        rank[order] = np.arange(len(pairs))
-        rank[counts < least] = -1
-        weight = np.full(n + 1, -1, np.int64)  # of the pair that starts at each place, with a border
-        weight[1 + maybe] = rank[back]
-        own = weight[1:-1]
-        new_run = own != weight[:-2]
-        place = np.arange(n - 1)
-        even = (place - np.maximum.accumulate(np.where(new_run, place, 0))) % 2 == 0
-        wins = np.flatnonzero((own >= 0) & (own >= weight[:-2]) & (own >= weight[2:]) & even)
-        uses = np.bincount(own[wins], minlength=len(pairs))
-        wins = wins[uses[own[wins]] >= 3]
-        if len(wins) < gain * n:
+        cell = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+        maybe = np.flatnonzero((np.bincount(cell.view(np.int64), minlength=1 << 18) >= least)[cell])
+        again = np.flatnonzero(code[1:] == code[:-1]) + 1
+        if len(again):  # in a run of one pair every other occurrence counts
+            head = np.flatnonzero(np.append(True, np.diff(again) != 1))
+            odd = (again - np.repeat(again[head] - 1, np.diff(np.append(head, len(again))))) % 2 == 1
+            alone = np.ones(n - 1, bool)
+            alone[again[odd]] = False
+            maybe = maybe[alone[maybe]]
+        found = code[maybe]
+        by = np.argsort(found)
+        found = found[by]
+        fresh = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else by
+        counts = np.diff(np.append(fresh, len(found)))
+        often = np.flatnonzero(counts >= least)
+        if not len(often):
             break
-        chosen = np.unique(own[wins])
-        made = pairs[order[chosen]]
+        often = often[np.argsort(counts[often], kind="stable")]  # a pair's number is its rank
+        rank = np.full(len(counts), -1, np.int32)
+        rank[often] = np.arange(len(often))
+        weight = np.full(n + 1, -1, np.int32)  # of the pair that starts at each place, with a border
+        weight[1 + maybe[by]] = np.repeat(rank, counts)
+        live = np.flatnonzero(weight[1:-1] >= 0)
+        own = weight[1 + live]
+        won = (own >= weight[live]) & (own >= weight[live + 2])
+        wins, number = live[won], own[won]
+        enough = 2 * np.bincount(number, minlength=len(often)) >= least
+        if not enough.any():
+            enough[-1] = True
+            wins, number = live, own
+        some = enough[number]
+        wins, number = wins[some], (np.cumsum(enough) - 1)[number[some]]
+        made = found[fresh[often[enough]]]
         left, right = (made >> np.uint64(32)).astype(np.int64), (made & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rules.append(np.stack([left, right], 1))
         sizes = np.append(sizes, sizes[left] + sizes[right])
-        seq[wins] = (top + np.searchsorted(chosen, own[wins])).astype(np.uint64)
-        top += len(chosen)
+        seq[wins] = (top + number).astype(np.uint64)
+        top += len(made)
         keep = np.ones(n, bool)
         keep[wins + 1] = False
         seq = seq[keep]
@@ -74,9 +89,8 @@ def pair_up(ids: np.ndarray, least: int = 8, rounds: int = 10, gain: float = 0.0
     return seq, flat, sizes[base:], base
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+def _levels(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for; one level of the grammar in each round."""
-    seq = seq.astype(np.int64)
     while len(deep := np.flatnonzero(seq >= base)):
         twice = np.ones(len(seq), np.int64)
         twice[deep] = 2
@@ -84,7 +98,24 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         seq = np.repeat(seq, twice)
         at = deep + np.arange(len(deep))
         seq[at], seq[at + 1] = pair[:, 0], pair[:, 1]
-    return seq.astype(np.uint32)
+    return seq
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """The ids that symbols stand for; each nonterminal is expanded once and copied."""
+    seq = seq.astype(np.int64)
+    deep = np.flatnonzero(seq >= base)
+    used, which = np.unique(seq[deep], return_inverse=True)
+    flat, each = _levels(used, rules, base), sizes[used - base]
+    size = np.ones(len(seq), np.int64)
+    size[deep] = each[which]
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
+    plain = np.flatnonzero(seq < base)
+    out[start[plain]] = seq[plain]
+    step = np.arange(int(size[deep].sum())) - np.repeat(np.cumsum(size[deep]) - size[deep], size[deep])
+    out[np.repeat(start[deep], size[deep]) + step] = flat[np.repeat((np.cumsum(each) - each)[which], size[deep]) + step]
+    return out
 
 
 def dump(ids: np.ndarray) -> bytes:
@@ -112,7 +143,7 @@ def load(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
     """The ids from start to stop; expands only the symbols that cover them."""
     seq, rules, sizes, base = parts(payload)
     if start == 0 and stop is None:
-        return expand(seq, rules, base)
+        return expand(seq, rules, sizes, base)
     each = np.ones(len(seq), np.int64)
     deep = seq >= base
     each[deep] = sizes[seq[deep] - base]
@@ -122,10 +153,10 @@ def load(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
         return np.zeros(0, np.uint32)
     a, b = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
     skip = start - int(ends[a] - each[a])
-    return expand(seq[a:b], rules, base)[skip : skip + stop - start]
+    return expand(seq[a:b], rules, sizes, base)[skip : skip + stop - start]
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 0, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 0, block_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, compress and store; the stored table of blocks, by shard and block in ascending document order."""
     names = [x.split(" ")[0] for x in SHARDS.split(", ")]
 
@@ -157,8 +188,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, block_tokens: int =
         if docs_:
             yield out()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SHARDS), "token-shards")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("tie"))
+    # The tie lets rows of one id spread over shards.
+    return stored(rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(lean(run), SHARDS), "token-shards")
 
 
 def read(blocks: DataFrame) -> DataFrame:
@@ -166,19 +198,18 @@ def read(blocks: DataFrame) -> DataFrame:
     names = ["shard", "start", "doc_id", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, n = load(r["payload"]).astype("<u4"), len(r["doc_ids"])
-                offs = np.append(0, np.cumsum(r["sizes"]))
-                if offs[-1] != len(ids):
-                    raise ValueError("a block's ids don't match its documents")
-                cols = [pa.array([r["shard"]] * n, pa.int32()), pa.array(offs[:-1] + r["start"]), pa.array(r["doc_ids"], pa.int64()), pa.array(np.diff(offs)), pa.array([ids[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for r in block_rows(batches):
+            ids, n = load(r["payload"]).astype("<u4"), len(r["doc_ids"])
+            offs = np.append(0, np.cumsum(r["sizes"]))
+            if offs[-1] != len(ids):
+                raise ValueError("a block's ids don't match its documents")
+            cols = [pa.array([r["shard"]] * n, pa.int32()), pa.array(offs[:-1] + r["start"]), pa.array(r["doc_ids"], pa.int64()), pa.array(np.diff(offs)), pa.array([ids[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     # One row for each shard, of which there are no more than shuffle partitions.
     totals = blocks.groupBy("shard").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
-    rows = blocks.select("shard", "start", "doc_ids", "sizes", "payload").mapInArrow(run, "shard int, start long, doc_id long, n_tokens long, ids binary")
+    rows = blocks.select("shard", "start", "doc_ids", "sizes", "payload").mapInArrow(lean(run), "shard int, start long, doc_id long, n_tokens long, ids binary")
     return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 

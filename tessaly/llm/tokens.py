@@ -2,7 +2,7 @@
 
 Merges never cross pre-tokens, so a text's ids are its pre-tokens' ids in order. Pre-tokens are found for a whole batch
 of texts at once with numpy (the pattern's rules as operations on character classes), identified by 64-bit hashes and
-looked up in a table; the library's model encodes each unknown one. A full table is emptied. A text with one of the few
+looked up in a table; the library's model encodes each unknown one. A full table (some 40 MB) is emptied. A text with one of the few
 characters on whose class regular expression engines differ goes to the library whole.
 """
 
@@ -13,7 +13,7 @@ import unicodedata
 
 import numpy as np
 
-from ._shared import mix
+from ._shared import mix, span_hashes
 
 #: Classes of these differ between engines; so do those of code points without a category.
 ODD = [0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF]
@@ -70,7 +70,7 @@ def starts(codes: np.ndarray, kind: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Encoder:
     """special: strings of special tokens are ordinary text. most: entries that the table holds."""
 
-    def __init__(self, path: str, special: bool = True, most: int = 2_000_000):
+    def __init__(self, path: str, special: bool = True, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -164,16 +164,7 @@ class Encoder:
         return ids, np.append(0, total)[np.searchsorted(begin, offs)]
 
     def hashes(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = len(codes)
-        if len(_made.get("up", ())) <= n:
-            base = 0xD1342543DE82EF95
-            for key, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
-                run = np.full(n + 1, x, np.uint64)
-                run[0] = 1
-                _made[key] = np.cumprod(run)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_made["code"][codes] * _made["up"][:n], out=sums[1:])
-        h = mix((sums[end] - sums[begin]) * _made["down"][begin] + (end - begin).astype(np.uint64))
+        h = span_hashes(_made["code"], codes, begin, end)
         h[h == 0] = 1
         return h
 
