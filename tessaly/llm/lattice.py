@@ -3,8 +3,11 @@
 A word is a space and its bytes; a text is its words in turn and an end. Words are made of pieces of an existing subword
 vocabulary (its single bytes included, so every word can be made), and a text's probability sums over every way to cut
 its words: log-space forward recursion over the lattice of pieces, word by word. Piece weights start from the
-vocabulary's scores (ranks, as Zipf's law has them) and are re-estimated on all training words by expectation
-maximisation: forward and backward over the same lattices.
+vocabulary's scores (ranks, as Zipf's law has them) and are re-estimated on the training documents' distinct words by
+expectation maximisation: forward and backward over the same lattices. A training word also has an arc of its own, with
+its discounted frequency; the lattice's other ways share what is discounted. All lower-case pieces of the vocabulary
+count, whatever their length; a word of any length is computed, the recursion of a long one (over LONG bytes) by a
+window that slides along it.
 
 Words are counted exactly. A block of documents sends the owner of each word's hash the word once, with its count in
 training documents. Owners add up counts, and hold each distinct word once, so each lattice is computed once for the
@@ -19,7 +22,9 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from math import exp, inf, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -28,18 +33,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, mix, partitions, raw, slices, stored, word_hashes, words
+from ._shared import LOWER, block_rows, byte_cells, lean, partitions, powers, raw, release, slices, stored, word_hashes, words
 from .exchange import golomb, ungolomb
 
 _made: dict = {}
 CHUNK = 512
+LONG = 512
 BLOCK = "block long, ids array<long>, held array<boolean>, sizes array<int>, pairs binary, times binary, hashes binary, lengths binary, letters binary, counts binary"
 
 
 class Pieces:
     """The vocabulary as bytes, a space standing for its mark of a word's start. Piece ids are places in this list."""
 
-    def __init__(self, path: str, longest: int = 16):
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,7 +57,7 @@ class Pieces:
             elif not (model.is_unknown(i) or model.is_control(i)):
                 text = model.id_to_piece(i).replace("▁", " ")
                 data = text.encode()
-                if " " not in text[1:] and data == data.lower() and len(data) <= longest:
+                if " " not in text[1:] and data == data.lower():
                     found[data] = min(found.get(data, 2.0 * n), max(0.0, -model.get_score(i)) if model.get_score(i) > -1e8 else 2.0 * n)
         self.all = sorted(found)
         self.longest = max(map(len, self.all))
@@ -65,17 +71,10 @@ class Pieces:
     @staticmethod
     def hash_rows(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = table.shape[1]
-        if len(_made.get("up", ())) <= n:
-            base = 0xD1342543DE82EF95
-            for key, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
-                run = np.full(n + 64, x, np.uint64)
-                run[0] = 1
-                _made[key] = np.cumprod(run)
-        if "byte" not in _made:
-            _made["byte"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        up, down = powers(n)
         sums = np.zeros((len(table), n + 1), np.uint64)
-        np.cumsum(_made["byte"][table] * _made["up"][:n], axis=1, out=sums[:, 1:])
-        return sums, _made["down"]
+        np.cumsum(byte_cells()[table] * up[:n], axis=1, out=sums[:, 1:])
+        return sums, down
 
     @staticmethod
     def cut(rows: tuple[np.ndarray, np.ndarray], a: int, b: int) -> np.ndarray:
@@ -102,13 +101,50 @@ def _sum(terms: list[np.ndarray]) -> np.ndarray:
         return safe + np.log(np.exp(table - safe).sum(axis=0))
 
 
+def _arcs(vocabulary: Pieces, word: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and piece of the arcs that start from low to high, in order of start."""
+    sums, down = vocabulary.hash_rows(word[None, low : high + vocabulary.longest])
+    place, size = np.arange(high - low)[:, None], np.arange(1, vocabulary.longest + 1)[None, :]
+    end = np.minimum(place + size, sums.shape[1] - 1)
+    found = vocabulary.find((sums[0][end] - sums[0][place]) * down[place] + size.astype(np.uint64))
+    start, k = np.nonzero((found < len(vocabulary.all)) & (place + size == end))
+    return start + low, start + low + k + 1, found[start, k]
+
+
+def long_likelihood(vocabulary: Pieces, lp: np.ndarray, word: np.ndarray, times: float, used: np.ndarray | None, chunk: int = 4096) -> float:
+    """The same for one long word (its space included); holds one number for each byte and the arcs of a chunk."""
+    n = len(word)
+    ahead = array("d", [0.0]) + array("d", [-inf]) * n
+    for low in range(0, n, chunk):
+        start, end, piece = _arcs(vocabulary, word, low, min(n, low + chunk))
+        for s, e, w in zip(start.tolist(), end.tolist(), lp[piece].tolist(), strict=True):
+            x, y = ahead[s] + w, ahead[e]
+            if x > -inf:
+                ahead[e] = x if y == -inf else max(x, y) + log1p(exp(-abs(x - y)))
+    if used is not None:
+        back, forward = array("d", [-inf]) * n + array("d", [0.0]), np.frombuffer(ahead)
+        for low in range((n - 1) // chunk * chunk, -1, -chunk):
+            start, end, piece = _arcs(vocabulary, word, low, min(n, low + chunk))
+            for s, e, w in zip(start[::-1].tolist(), end[::-1].tolist(), lp[piece][::-1].tolist(), strict=True):
+                x, y = back[e] + w, back[s]
+                if x > -inf:
+                    back[s] = x if y == -inf else max(x, y) + log1p(exp(-abs(x - y)))
+            share = np.exp(forward[start] + lp[piece] + np.frombuffer(back)[end] - ahead[n]) * times
+            used += np.bincount(piece, weights=share, minlength=len(used))
+    return ahead[n]
+
+
 def likelihood(vocabulary: Pieces, weights: np.ndarray, letters: np.ndarray, lengths: np.ndarray, counts: np.ndarray | None = None, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of each word (letters: all words' bytes), and with counts the expected uses of each piece."""
     n = len(vocabulary.all)
     lp = np.append(weights, -np.inf)
     out, used = np.zeros(len(lengths)), np.zeros(n + 1)
     starts = np.cumsum(lengths) - lengths
+    for k in np.flatnonzero(lengths > LONG).tolist():
+        word = np.append(np.uint8(32), letters[starts[k] : starts[k] + lengths[k]])
+        out[k] = long_likelihood(vocabulary, lp, word, 0.0 if counts is None else float(counts[k]), None if counts is None else used)
     order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] <= LONG]
     at = 0
     while at < len(order):
         size = int(lengths[order[at]])
@@ -204,7 +240,7 @@ def blocks(docs: DataFrame, block_words: int) -> DataFrame:
         if state["docs"]:
             yield out()
 
-    return stored(docs.mapInArrow(run, BLOCK), "word-blocks")
+    return stored(docs.mapInArrow(lean(run), BLOCK), "word-blocks")
 
 
 def _requests(blocks_: DataFrame, owners: int, with_words: bool) -> DataFrame:
@@ -212,30 +248,26 @@ def _requests(blocks_: DataFrame, owners: int, with_words: bool) -> DataFrame:
     kind = "owner int, block long, coded binary" + (", lengths binary, letters binary, counts binary" if with_words else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                h = np.frombuffer(row["hashes"], "<u8")
-                owner = (h % np.uint64(owners)).astype(np.int64)
+        for row in block_rows(batches):
+            h = np.frombuffer(row["hashes"], "<u8")
+            owner = (h % np.uint64(owners)).astype(np.int64)
+            if with_words:
+                size, letters, counts = _unz(row["lengths"], "<u4").astype(np.int64), _unz(row["letters"], np.uint8), _unz(row["counts"], "<u4")
+                starts = np.cumsum(size) - size
+            by, got = np.argsort(owner, kind="stable"), []
+            for at in np.split(by, np.flatnonzero(np.diff(owner[by])) + 1) if len(by) else ():
+                rest = ()
                 if with_words:
-                    size, letters, counts = _unz(row["lengths"], "<u4").astype(np.int64), _unz(row["letters"], np.uint8), _unz(row["counts"], "<u4")
-                    starts = np.cumsum(size) - size
-                by = np.argsort(owner, kind="stable")
-                cuts, got = np.searchsorted(owner[by], np.arange(owners + 1)), []
-                for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if b > a:
-                        at = by[a:b]
-                        rest = ()
-                        if with_words:
-                            each = size[at]
-                            spot = np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-                            rest = (_z(each.astype("<u4")), zlib.compress(letters[spot].tobytes(), 1), _z(counts[at]))
-                        got.append((o, row["block"], golomb(h[at] >> np.uint64(8)), *rest))
-                names = [x.split(" ")[0] for x in kind.split(", ")]
-                cols = list(zip(*got, strict=True)) or [()] * len(names)
-                types = [pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-    return blocks_.select("block", *columns).mapInArrow(run, kind)
+                    each = size[at]
+                    spot = np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+                    rest = (_z(each.astype("<u4")), zlib.compress(letters[spot].tobytes(), 1), _z(counts[at]))
+                got.append((int(owner[at[0]]), row["block"], golomb(h[at] >> np.uint64(8)), *rest))
+            names = [x.split(" ")[0] for x in kind.split(", ")]
+            cols = list(zip(*got, strict=True)) or [()] * len(names)
+            types = [pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    return blocks_.select("block", *columns).mapInArrow(lean(run), kind)
 
 
 def counted(blocks_: DataFrame, owners: int) -> DataFrame:
@@ -252,6 +284,7 @@ def counted(blocks_: DataFrame, owners: int) -> DataFrame:
         each = lengths[first]
         spot = np.repeat(starts - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
         row = {"owner": int(frame["owner"].iloc[0]), "coded": golomb(keys), "lengths": _z(each.astype("<u4")), "letters": zlib.compress(letters[spot].tobytes(), 1), "counts": _z(total), "n": int(total.sum()), "v": int((total > 0).sum()), "n1": int((total == 1).sum()), "n2": int((total == 2).sum())}
+        release()
         return pd.DataFrame([row])
 
     kind = "owner int, coded binary, lengths binary, letters binary, counts binary, n long, v long, n1 long, n2 long"
@@ -266,13 +299,12 @@ def trained(vocabulary: DataFrame, path: str, rounds: int) -> np.ndarray:
 
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             own, total = pieces(path), None
-            for batch in batches:
-                for row in batch.to_pylist():
-                    counts, size = _unz(row["counts"], "<i8"), _unz(row["lengths"], "<u4").astype(np.int64)
-                    letters = _unz(row["letters"], np.uint8)
-                    seen = counts > 0
-                    _, used = likelihood(own, held, letters[np.repeat(seen, size)], size[seen], np.ones(int(seen.sum())))
-                    total = used if total is None else total + used
+            for row in block_rows(batches):
+                counts, size = _unz(row["counts"], "<i8"), _unz(row["lengths"], "<u4").astype(np.int64)
+                letters = _unz(row["letters"], np.uint8)
+                seen = counts > 0
+                _, used = likelihood(own, held, letters[np.repeat(seen, size)], size[seen], np.ones(int(seen.sum())))
+                total = used if total is None else total + used
             if total is not None:
                 cuts = range(0, len(total), CHUNK)
                 yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array([total[c : c + CHUNK].astype("<f8").tobytes() for c in cuts], pa.binary())], ["first", "used"])
@@ -282,7 +314,7 @@ def trained(vocabulary: DataFrame, path: str, rounds: int) -> np.ndarray:
             return pd.DataFrame({"first": [int(frame["first"].iloc[0])], "used": [total.tobytes()]})
 
         kind = "first int, used binary"
-        got = vocabulary.select("lengths", "letters", "counts").mapInArrow(expect, kind).groupBy("first").applyInPandas(add, kind).collect()
+        got = vocabulary.select("lengths", "letters", "counts").mapInArrow(lean(expect), kind).groupBy("first").applyInPandas(add, kind).collect()
         if not got:
             break
         used = np.full(len(weights), 0.05)
@@ -292,7 +324,7 @@ def trained(vocabulary: DataFrame, path: str, rounds: int) -> np.ndarray:
     return weights
 
 
-def scored(docs: DataFrame, path: str, held_out: Column, rounds: int = 2, block_words: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, path: str, held_out: Column, rounds: int = 2, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; the last two in log10."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held"))
     stored_ = blocks(rows, block_words)
@@ -310,19 +342,19 @@ def scored(docs: DataFrame, path: str, held_out: Column, rounds: int = 2, block_
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
-        for batch in batches:
-            for row in batch.to_pylist():
-                got, _ = likelihood(own, weights, _unz(row["letters"], np.uint8), _unz(row["lengths"], "<u4").astype(np.int64))
-                seen = _unz(row["counts"], "<i8")
-                got += new
-                got[seen > 0] = np.logaddexp(got[seen > 0], np.log((seen[seen > 0] - less) / n))
-                yield pa.RecordBatch.from_arrays([pa.array([row["owner"]], pa.int32()), pa.array([row["coded"]], pa.binary()), pa.array([row["counts"]], pa.binary()), pa.array([got.astype("<f8").tobytes()], pa.binary())], ["owner_", "keys", "counts", "logs"])
+        for row in block_rows(batches):
+            got, _ = likelihood(own, weights, _unz(row["letters"], np.uint8), _unz(row["lengths"], "<u4").astype(np.int64))
+            seen = _unz(row["counts"], "<i8")
+            got += new
+            got[seen > 0] = np.logaddexp(got[seen > 0], np.log((seen[seen > 0] - less) / n))
+            yield pa.RecordBatch.from_arrays([pa.array([row["owner"]], pa.int32()), pa.array([row["coded"]], pa.binary()), pa.array([row["counts"]], pa.binary()), pa.array([got.astype("<f8").tobytes()], pa.binary())], ["owner_", "keys", "counts", "logs"])
 
-    known = vocabulary.select("owner", "coded", "lengths", "letters", "counts").mapInArrow(score, "owner_ int, keys binary, counts binary, logs binary")
+    known = vocabulary.select("owner", "coded", "lengths", "letters", "counts").mapInArrow(lean(score), "owner_ int, keys binary, counts binary, logs binary")
 
     def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         keys, counts, logs = ungolomb(own["keys"].iloc[0]), _unz(own["counts"].iloc[0], "<i8"), np.frombuffer(own["logs"].iloc[0], "<f8")
         at = [np.searchsorted(keys, ungolomb(x)) for x in asked["coded"]]
+        release()
         return pd.DataFrame({"block": asked["block"], "owner": asked["owner"], "counts": [_z(counts[x]) for x in at], "logs": [logs[x].tobytes() for x in at]})
 
     told = _requests(stored_, owners, False).groupBy("owner").cogroup(known.groupBy("owner_")).applyInPandas(answer, "block long, owner int, counts binary, logs binary")
@@ -331,29 +363,28 @@ def scored(docs: DataFrame, path: str, held_out: Column, rounds: int = 2, block_
     last = float(np.log10(ends + 1)) - none
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                h = np.frombuffer(row["hashes"], "<u8")
-                counts, logs = np.zeros(len(h), np.int64), np.zeros(len(h))
-                owner = (h % np.uint64(owners)).astype(np.int64)
-                by = np.argsort(owner, kind="stable")
-                cuts = np.searchsorted(owner[by], np.arange(owners + 1))
-                for x in row["answer"] or []:
-                    at = by[cuts[x["owner"]] : cuts[x["owner"] + 1]]
-                    counts[at], logs[at] = _unz(x["counts"], "<i8"), np.frombuffer(x["logs"], "<f8")
-                pairs, times = ungolomb(row["pairs"]), _unz(row["times"], "<u4").astype(float)
-                doc, word = pairs // max(1, len(h)), pairs % max(1, len(h))
-                m = len(row["ids"])
-                each = lambda w: np.bincount(doc, weights=times * w, minlength=m)
-                size = np.array(row["sizes"], np.int64)
-                base = each(np.log10(counts + 1.0)[word] - none) + last
-                full = (each(logs[word]) + end) / np.log(10)
-                seen = each((counts > 0)[word].astype(float)).astype(np.int64) + (ends > 0)
-                cols = [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size + 1), pa.array(seen), pa.array(np.full(m, n)), pa.array(base), pa.array(full)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in block_rows(batches):
+            h = np.frombuffer(row["hashes"], "<u8")
+            counts, logs = np.zeros(len(h), np.int64), np.zeros(len(h))
+            owner = (h % np.uint64(owners)).astype(np.int64)
+            by = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[by], np.arange(owners + 1))
+            for x in row["answer"] or []:
+                at = by[cuts[x["owner"]] : cuts[x["owner"] + 1]]
+                counts[at], logs[at] = _unz(x["counts"], "<i8"), np.frombuffer(x["logs"], "<f8")
+            pairs, times = ungolomb(row["pairs"]), _unz(row["times"], "<u4").astype(float)
+            doc, word = pairs // max(1, len(h)), pairs % max(1, len(h))
+            m = len(row["ids"])
+            each = lambda w: np.bincount(doc, weights=times * w, minlength=m)
+            size = np.array(row["sizes"], np.int64)
+            base = each(np.log10(counts + 1.0)[word] - none) + last
+            full = (each(logs[word]) + end) / np.log(10)
+            seen = each((counts > 0)[word].astype(float)).astype(np.int64) + (ends > 0)
+            cols = [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size + 1), pa.array(seen), pa.array(np.full(m, n)), pa.array(base), pa.array(full)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     both = stored_.select("block", "ids", "held", "sizes", "pairs", "times", "hashes").join(told, "block", "left").select("ids", "held", "sizes", "pairs", "times", "hashes", "answer")
-    return both.mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.mapInArrow(lean(total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

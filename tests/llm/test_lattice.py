@@ -72,3 +72,47 @@ def test_counts_and_scores(spark):
     assert lattice.scored(spark.createDataFrame([], SCHEMA), PATH, F.lit(False)).collect() == []
     alone = lattice.scored(docs, PATH, F.lit(True), block_words=50).collect()
     assert all(r.base_score == 0 and r.n_known == 0 for r in alone)
+
+
+def test_long_words_by_a_sliding_window(monkeypatch):
+    v = lattice.pieces(PATH)
+    rng = np.random.default_rng(3)
+    words = [b"information" * 60, bytes(rng.integers(33, 250, 700).astype(np.uint8)), "международныйуниверситет".encode() * 20, b"q" * 513]
+    sizes, letters, counts = np.array(list(map(len, words))), np.frombuffer(b"".join(words), np.uint8), np.array([1, 2, 3, 4])
+    lp = np.append(v.first, -np.inf)
+    got, used = lattice.likelihood(v, v.first, letters, sizes, counts)
+    again = np.zeros(len(lp))
+    small = [lattice.long_likelihood(v, lp, np.append(np.uint8(32), np.frombuffer(w, np.uint8)), n, again, chunk=100) for w, n in zip(words, counts.tolist(), strict=True)]
+    monkeypatch.setattr(lattice, "LONG", 10**6)
+    want, uses = lattice.likelihood(v, v.first, letters, sizes, counts)
+    assert np.allclose(got, want, rtol=1e-10) and np.allclose(small, want, rtol=1e-10)
+    assert np.allclose(used, uses) and np.allclose(again[:-1], uses)
+
+
+def test_every_lower_case_piece_counts():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [model.id_to_piece(k).replace("▁", " ") for k in range(model.get_piece_size()) if not (model.is_byte(k) or model.is_unknown(k) or model.is_control(k))]
+    want = {x.encode() for x in texts if " " not in x[1:] and x.encode() == x.encode().lower()}
+    have = set(lattice.pieces(PATH).all)
+    assert want <= have and all(len(x) == 1 for x in have - want) and max(map(len, want)) > 16
+
+
+def test_scores_against_a_plain_computation(spark):
+    """The score's formula on a few documents, with every segmentation listed."""
+    v = lattice.pieces(PATH)
+    texts = ["ab ab the", "the cat ab", None, "unseen the", "cat CAT dog"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lattice.scored(docs, PATH, F.col("doc_id") == 3, rounds=0).collect()}
+    split = lambda t: (t or "").lower().encode().split()
+    seen = Counter(w for k, t in enumerate(texts) if k != 3 for w in split(t))
+    ends = 4
+    n, types, n1, n2 = sum(seen.values()) + ends, len(seen), sum(c == 1 for c in seen.values()), sum(c == 2 for c in seen.values())
+    less = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    for k, t in enumerate(texts):
+        log = math.log10(ends / n)
+        for w in split(t):
+            p = brute_word(v, np.exp(v.first), w)[0] * less * types / n + (max(0, seen[w] - less) / n if w in seen else 0)
+            log += math.log10(p)
+        assert math.isclose(got[k], log, rel_tol=1e-9), (k, got[k], log)
