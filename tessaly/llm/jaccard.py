@@ -16,7 +16,7 @@ then share at least k(n) = d(n) + 1 tokens of their prefixes, n being the smalle
    classes two of them meet, and a set indexes the pairs of its frequent tokens within each class. No key is dropped
    and no list is cut.
 3. Lists don't become pairs. In each list every set is first compared with one leader, a smaller one; the links found make groups; this
-   is done again between groups with other leaders; only what remains of lists that still span groups is paired, and
+   is done again between groups, where each list has leaders of its own, 4 and then 16, so that a set meets many members of a family; only what remains of lists that still span groups is paired, and
    only across groups. Pairs inside a group can't change it. So a large family of near copies costs comparisons in
    proportion to its size.
 4. A pair whose parity bitmaps (256 bits, each flipped once for each token that hashes to it) differ in more bits than
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from ._shared import LOWER, gram_hashes, mix, partitions, raw, slices, stored, word_hashes, words
+from ._shared import LOWER, block_rows, discard, gram_hashes, lean, mix, partitions, raw, slices, stored, word_hashes, words
 from .components import components
 
 LAST = (1 << 63) - 1
@@ -160,7 +160,7 @@ def blocks(docs: DataFrame, n: int, rule: Rule, block_tokens: int) -> DataFrame:
         if ids:
             yield out()
 
-    return stored(docs.mapInArrow(run, "block long, ids array<long>, sizes array<int>, marks array<binary>, own array<boolean>, tokens binary"), "prefixes")
+    return stored(docs.mapInArrow(lean(run), "block long, ids array<long>, sizes array<int>, marks array<binary>, own array<boolean>, tokens binary"), "prefixes")
 
 
 def token_keys(row: dict) -> np.ndarray:
@@ -172,19 +172,18 @@ def survivors(blocks_: DataFrame, rule: Rule, owners: int) -> DataFrame:
     told = exchange.answers(blocks_, token_keys, ["tokens"], owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens = unpack48(row["tokens"])
-                again = exchange.unpack(mix(tokens), row["answer"], owners)
-                own = np.array(row["own"], bool)
-                size = np.array(row["sizes"], np.int64)[own]
-                cuts = np.append(0, np.cumsum(rule.prefix(size)))
-                shared = np.diff(np.append(0, np.cumsum(again, dtype=np.int64))[cuts])
-                marks = [m for m, o in zip(row["marks"], own, strict=True) if o]
-                yield pa.RecordBatch.from_arrays([pa.array([marks[k] for k in np.flatnonzero(shared >= rule.common(size))], pa.binary())], ["mark"])
+        for row in block_rows(batches):
+            tokens = unpack48(row["tokens"])
+            again = exchange.unpack(mix(tokens), row["answer"], owners)
+            own = np.array(row["own"], bool)
+            size = np.array(row["sizes"], np.int64)[own]
+            cuts = np.append(0, np.cumsum(rule.prefix(size)))
+            shared = np.diff(np.append(0, np.cumsum(again, dtype=np.int64))[cuts])
+            marks = [m for m, o in zip(row["marks"], own, strict=True) if o]
+            yield pa.RecordBatch.from_arrays([pa.array([marks[k] for k in np.flatnonzero(shared >= rule.common(size))], pa.binary())], ["mark"])
 
     joined = blocks_.select("block", "sizes", "marks", "own", "tokens").join(told, "block", "left")
-    return stored(joined.mapInArrow(run, "mark binary").distinct(), "survivors")
+    return stored(joined.mapInArrow(lean(run), "mark binary").distinct(), "survivors")
 
 
 def _keys(tokens: np.ndarray, often: np.ndarray, order: np.ndarray, lost: int, band: int, g: int, rare: int) -> np.ndarray:
@@ -220,6 +219,12 @@ def keys_of(tokens: np.ndarray, often: np.ndarray, rule: Rule, rare: int) -> tup
 BITS = ["b0", "b1", "b2", "b3"]
 
 
+def repeated(marks: list[bytes], counts: list[int]) -> pa.Array:
+    """Each mark (16 bytes) as often as its count says."""
+    data = np.repeat(np.frombuffer(b"".join(marks), np.uint8).reshape(-1, 16), counts, axis=0)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32) * 16), pa.py_buffer(data.tobytes())])
+
+
 def parity(tokens: np.ndarray) -> np.ndarray:
     """256 bits, each the parity of the number of tokens that hash to it."""
     cells = np.bincount((mix(tokens) >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1
@@ -231,49 +236,55 @@ def index(full: DataFrame, rule: Rule, owners: int, rare: int, block_tokens: int
     names = ["block", "marks", "sizes", "tokens"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, sizes, tokens, count = [], [], [], 0
+        marks, sizes, tokens, held, count = [], [], [], 0, 0
 
         def out() -> pa.RecordBatch:
             cols = [pa.array([TaskContext.get().partitionId() << 32 | count]), pa.array([marks], pa.list_(pa.binary())), pa.array([sizes], pa.list_(pa.int32())), pa.array([b"".join(tokens)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names)
 
         for batch in batches:
-            for mark, body in zip(batch.column("mark").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                marks.append(mark)
-                sizes.append(len(body) // 8)
-                tokens.append(pack48(np.frombuffer(body, "<u8") & LOW48))
-                if sum(sizes[-1:]) and len(marks) % 64 == 0 and sum(sizes) >= block_tokens:
+            for mark, body in zip(batch.column("mark"), batch.column("tokens"), strict=True):
+                marks.append(mark.as_py())
+                sizes.append(len(body.as_buffer()) // 8)
+                tokens.append(pack48(np.frombuffer(body.as_buffer(), "<u8") & LOW48))
+                held += sizes[-1]
+                if held >= block_tokens:
                     yield out()
-                    marks, sizes, tokens, count = [], [], [], count + 1
+                    marks, sizes, tokens, held, count = [], [], [], 0, count + 1
         if marks:
             yield out()
 
-    held = stored(full.mapInArrow(gather, "block long, marks array<binary>, sizes array<int>, tokens binary"), "set-blocks")
+    held = stored(full.mapInArrow(lean(gather), "block long, marks array<binary>, sizes array<int>, tokens binary"), "set-blocks")
     told = exchange.answers(held, token_keys, ["tokens"], owners, 254)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens = unpack48(row["tokens"])
-                often = exchange.unpack(mix(tokens), row["answer"], owners, 254)
-                at, keys, marks, sizes, small, bits, last = 0, [], [], [], [], [], len(row["marks"]) - 1
-                for k, (n, mark) in enumerate(zip(row["sizes"], row["marks"], strict=True)):
-                    got, role = keys_of(tokens[at : at + n], often[at : at + n], rule, rare)
-                    if len(got):
-                        keys.append(got.view(np.int64))
-                        small.append(role)
-                        bits.append(np.repeat(parity(tokens[at : at + n])[:, None], len(got), axis=1))
-                        marks += [mark] * len(got)
-                        sizes.append(np.full(len(got), n, np.int32))
-                    at += n
-                    if keys and (len(marks) > 100_000 or k == last):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(marks, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(small)), *map(pa.array, np.concatenate(bits, axis=1))], ["key", "mark", "n", "small", *BITS])
-                        keys, marks, sizes, small, bits = [], [], [], [], []
-
-    found = stored(held.join(told, "block", "left").select("marks", "sizes", "tokens", "answer").mapInArrow(run, "key long, mark binary, n int, small boolean, b0 long, b1 long, b2 long, b3 long"), "index")
-    # Keys that a single set has are gone after the partial counts: no list is gathered.
+        for row in block_rows(batches):
+            tokens = unpack48(row["tokens"])
+            often = exchange.unpack(mix(tokens), row["answer"], owners, 254)
+            at, keys, marks, counts, sizes, small, bits, last = 0, [], [], [], [], [], [], len(row["marks"]) - 1
+            for k, (n, mark) in enumerate(zip(row["sizes"], row["marks"], strict=True)):
+                got, role = keys_of(tokens[at : at + n], often[at : at + n], rule, rare)
+                if len(got):
+                    keys.append(got.view(np.int64))
+                    small.append(role)
+                    bits.append(parity(tokens[at : at + n]))
+                    marks.append(mark)
+                    counts.append(len(got))
+                    sizes.append(n)
+                at += n
+                if keys and (sum(counts) > 20_000 or k == last):
+                    each = np.repeat(np.stack(bits, 1), counts, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), repeated(marks, counts), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate(small)), *map(pa.array, each)], ["key", "mark", "n", "small", *BITS])
+                    keys, marks, counts, sizes, small, bits = [], [], [], [], [], []
+
+    found = stored(held.join(told, "block", "left").select("marks", "sizes", "tokens", "answer").mapInArrow(lean(run), "key long, mark binary, n int, small boolean, b0 long, b1 long, b2 long, b3 long"), "index")
+    # Keys that a single set has are gone after the partial counts: no list is gathered. Stored, so that the join deals
+    # both sides anew and may split a key with many sets.
     shared = found.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.max("small").alias("small")).where("low <> high and small")
-    return stored(found.join(shared.select("key"), "key", "left_semi"), "lists")
+    shared = stored(shared.select("key"), "shared-keys")
+    out = stored(found.join(shared, "key", "left_semi"), "lists")
+    discard(held, found, shared)
+    return out
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int = 25) -> DataFrame:
@@ -300,7 +311,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int = 25) -> Da
                 bodies = [flat[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(prints(flat, offs), pa.binary()), few.column("doc_id"), pa.array(bodies, pa.binary())], ["mark", "doc_id", "tokens"])
 
-    made = rows.mapInArrow(run, "mark binary, doc_id long, tokens binary")
+    made = rows.mapInArrow(lean(run), "mark binary, doc_id long, tokens binary")
     return stored(made.join(wanted, ["mark", "doc_id"], "left_semi").dropDuplicates(["mark"]).select("mark", "tokens"), "sets")
 
 
@@ -318,10 +329,10 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("u", "v")], ["u", "v"])
 
     left = pairs.join(full.select(F.col("mark").alias("u"), F.col("tokens").alias("a")), "u")
-    return left.join(full.select(F.col("mark").alias("v"), F.col("tokens").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return left.join(full.select(F.col("mark").alias("v"), F.col("tokens").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(lean(run), "u binary, v binary")
 
 
-def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, rare: int = 24, rounds: int = 3, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, rare: int = 24, rounds: int = 3, block_tokens: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rule = Rule(percent)
@@ -330,29 +341,32 @@ def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, rare: int = 24,
     owners = max(partitions(docs.sparkSession), int(total) // (4 << 20))
     live = survivors(stored_, rule, owners)
     members = stored_.select(F.explode(F.arrays_zip("ids", "sizes", "marks")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n"), F.col("x.marks").alias("mark"))
-    wanted = members.where("mark is not null").join(live, "mark", "left_semi").groupBy("mark").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc_id"))
+    wanted = members.where("mark is not null").groupBy("mark").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc_id")).join(live, "mark", "left_semi")
     full = whole_sets(docs, wanted, shingle)
     count = full.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
     lists = index(full, rule, max(partitions(docs.sparkSession), int(count) // (4 << 20)), rare, block_tokens)
 
     differ = " + ".join(f"bit_count(u{b} ^ v{b})" for b in BITS)
     near = f"{differ} <= nu + nv - 2 * (((nu + nv) * {percent} + {99 + percent}) div {100 + percent}) and least(nu, nv) * 100 >= greatest(nu, nv) * {percent}"
-    roots = None
+    roots, lists_ = None, lists
     for step in range(rounds + 1):
         rows = lists.withColumn("group", F.col("mark"))
         if roots is not None:
             rows = lists.join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left").select("key", "mark", "n", "small", *BITS, F.coalesce("root", "mark").alias("group"))
-            open_ = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+            open_ = stored(rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key"), "open-keys")
             rows = stored(rows.join(open_, "key", "left_semi"), "lists")
+            discard(lists_, open_)
+            lists_ = rows
             lists = rows.drop("group")
             if lists.isEmpty():
                 break
         v = rows.select("key", F.col("mark").alias("v"), F.col("n").alias("nv"), F.col("group").alias("gv"), *[F.col(b).alias(f"v{b}") for b in BITS])
         u = rows.where("small").select("key", F.col("mark").alias("u"), F.col("n").alias("nu"), F.col("group").alias("gu"), *[F.col(b).alias(f"u{b}") for b in BITS])
         if step < rounds:
-            # Another leader of each list in each round.
-            lead = F.min(F.struct(F.xxhash64("u", F.lit(step)).alias("h"), "u", "nu", "gu", *[f"u{b}" for b in BITS])).alias("lead")
-            pairs = v.join(u.groupBy("key").agg(lead).select("key", "lead.*").drop("h"), "key")
+            # One leader of like lists at first; then each list has 4, and 16, of its own, so that a set meets many.
+            least = [F.min(F.struct(F.xxhash64("u", *(["key"] if step else []), F.lit(step), F.lit(k)).alias("h"), "u", "nu", "gu", *[f"u{b}" for b in BITS])).alias(f"l{k}") for k in range(4**step)]
+            leaders = u.groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"l{k}")[c].alias(c) for c in ("u", "nu", "gu", *(f"u{b}" for b in BITS))]) for k in range(4**step)]))).alias("lead"))
+            pairs = v.join(stored(leaders.select("key", "lead.*"), "leaders"), "key")
         else:
             # What still spans groups, across groups only.
             pairs = v.join(u, "key").where("nu <= nv")
@@ -362,10 +376,15 @@ def linked(docs: DataFrame, shingle: int = 4, percent: int = 85, rare: int = 24,
             roots = components(new)
         elif not new.isEmpty():  # what was joined before goes on as a star
             roots = components(new.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    rows = members.join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left").select("doc_id", "n", "mark", F.coalesce("root", "mark").alias("root"))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # Of each set that several documents have or that is linked: the least document of its component.
+    least = members.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("low"), F.count("*").alias("times"))
+    nodes = stored(roots.select(F.col("node").alias("mark"), "root").union(roots.select(F.col("root").alias("mark"), "root").distinct()), "roots")
+    own = stored(least.join(nodes, "mark", "left").where("times > 1 or root is not null").select("mark", "low", F.coalesce("root", "mark").alias("root")), "sets")
+    lowest = stored(own.groupBy("root").agg(F.min("low").alias("least")), "least")
+    ends = stored(own.join(lowest, "root").select("mark", "least"), "components")
+    some = members.where("mark is not null").join(ends.withColumn("found", F.lit(True)), "mark", "left").select("doc_id", "n", F.when(F.col("found"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    none = members.where("mark is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return some.unionByName(none).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
