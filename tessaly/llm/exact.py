@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from ._shared import partitions, stored
+from ._shared import block_rows, lean, partitions, stored
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -46,7 +46,7 @@ def digests(docs: DataFrame, block_docs: int) -> DataFrame:
         if ids:
             yield out()
 
-    return stored(docs.mapInArrow(run, "block long, ids array<long>, points array<long>, shas binary"), "digests")
+    return stored(docs.mapInArrow(lean(run), "block long, ids array<long>, points array<long>, shas binary"), "digests")
 
 
 def prints(row: dict) -> np.ndarray:
@@ -62,16 +62,15 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = exchange.answers(blocks, prints, ["shas"], owners)
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                h = prints(row)
-                suspect = exchange.unpack(h, row["answer"], owners) > 0
-                shas = np.frombuffer(row["shas"], np.uint8).reshape(-1, 32)
-                place = np.arange(len(h)) | np.int64(row["block"] << 20)
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["points"], pa.int64()), pa.array([x.tobytes().hex() for x in shas], pa.string()), pa.array(place, pa.int64()), pa.array(suspect)], ["doc_id", "points", "sha", "place", "suspect"])
+        for row in block_rows(batches):
+            h = prints(row)
+            suspect = exchange.unpack(h, row["answer"], owners) > 0
+            shas = np.frombuffer(row["shas"], np.uint8).reshape(-1, 32)
+            place = np.arange(len(h)) | np.int64(row["block"] << 20)
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["points"], pa.int64()), pa.array([x.tobytes().hex() for x in shas], pa.string()), pa.array(place, pa.int64()), pa.array(suspect)], ["doc_id", "points", "sha", "place", "suspect"])
 
     joined = blocks.join(told, "block", "left").select("block", "ids", "points", "shas", "answer")
-    rows = stored(joined.mapInArrow(flag, "doc_id long, points long, sha string, place long, suspect boolean"), "suspects")
+    rows = stored(joined.mapInArrow(lean(flag), "doc_id long, points long, sha string, place long, suspect boolean"), "suspects")
     suspects = rows.where("suspect")
     texts = docs.alias("d").join(suspects.select("doc_id").distinct().alias("s"), F.expr("d.doc_id <=> s.doc_id"), "left_semi")
     same = F.translate(F.coalesce("text", F.lit("")), SPACE.decode(), "")
@@ -79,7 +78,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal = texts.select(same.alias("same")).groupBy("same").agg(F.count("*").alias("equal")).select(F.sha2("same", 256).alias("sha"), "equal")
     # Ties: the longest text, the smallest id (a null one last), the first row.
     best = suspects.groupBy("sha").agg(F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id", "place")).alias("best"), F.count("*").alias("size"))
-    groups = best.join(equal, "sha").select("sha", F.col("best.doc_id").alias("keep"), F.col("best.place").alias("first"), "size", "equal")
+    # Stored, so that the join below deals rows anew and may split the digest of a large group.
+    groups = stored(best.join(equal, "sha").select("sha", F.col("best.doc_id").alias("keep"), F.col("best.place").alias("first"), "size", "equal"), "groups")
     out = rows.join(groups, "sha", "left")
     group = F.coalesce("size", F.lit(1).cast("long"))
     wrong = F.raise_error(F.concat(F.lit("texts differ under one digest: "), F.col("sha")))

@@ -12,8 +12,8 @@ don't depend on it.
 
 Keys are compared by two 64-bit hashes (128 bits together).
 
-Cases: null and empty texts are one empty line; a null id is larger than any other; rows with one id count as one
-document where lines are compared, and get their own bitmaps; other columns are ignored; an empty table gives no rows.
+Cases: null and empty texts are one empty line; a null id counts as 2**63 - 1, the largest, where documents are
+compared; rows with one id count as one document there, and get their own bitmaps; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def _split(text: Column) -> Column:
 
 
 def dropped(docs: DataFrame, least: int = 10, hot: int = 256, salts: int = 64) -> DataFrame:
-    """doc, print and bits (word -> 64 lines' drop bits) of documents that lose a line. docs: doc_id, text."""
+    """doc, print and bits (word and 64 lines' drop bits, in order) of documents that lose a line. docs: doc_id, text."""
     doc, mark = F.coalesce("doc_id", F.lit(LAST)), F.xxhash64("text")
     lines = docs.select(doc.alias("doc"), mark.alias("print"), F.posexplode(F.transform(_split(F.col("text")), key)).alias("pos", "key")).where(F.length("key") >= least)
     rows = lines.select("doc", "print", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"))
@@ -54,7 +54,7 @@ def dropped(docs: DataFrame, least: int = 10, hot: int = 256, salts: int = 64) -
     found = first.where("salt < 0 and doc > first").select("doc", "print", "pos")
     found = found.unionByName(first.where("salt >= 0").join(F.broadcast(parts), ["h", "g"]).where("doc > least").select("doc", "print", "pos"))
     words = found.groupBy("doc", "print", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64)).alias("bits"))
-    return words.groupBy("doc", "print").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+    return words.groupBy("doc", "print").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("bits"))
 
 
 def deduplicate(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,7 +63,8 @@ def deduplicate(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     lost = dropped(docs, least).alias("b")
     both = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("print", F.xxhash64("text")).alias("d")
     both = both.join(lost, ["doc", "print"], "left").select("doc_id", "text", "bits")
-    dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("bits"))), lambda w: F.coalesce(F.try_element_at("bits", w), F.lit(0).cast("long")))
+    zeros = lambda x, i: F.array_repeat(F.lit(0).cast("long"), x["word"] - F.when(i > 0, F.get("bits", i - 1)["word"]).otherwise(-1) - 1)
+    dense = F.flatten(F.transform("bits", lambda x, i: F.concat(zeros(x, i), F.array(x["bits"]))))
     lines = _split(F.col("text"))
     out = both.select("doc_id", lines.alias("lines"), dense.alias("bits"))
     gone = lambda i: F.call_function("shiftright", F.coalesce(F.get("bits", F.floor(i / 64).cast("int")), F.lit(0).cast("long")), i % 64).bitwiseAND(F.lit(1).cast("long")) == 1

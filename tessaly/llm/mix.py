@@ -10,8 +10,9 @@ ranked together, so a source with a third of all rows is dealt over many tasks.
 Targets: sources in code point order, null last, get the weights in turn and share `share` of all sizes by them; none
 gets more than `most` times its own size, and what is over is shared again by weight among the rest.
 
-Cases: null and empty texts have size 0 and give nothing; a source without words gets target 0; ties in key go to the
-smaller id, then to the earlier text; other columns are ignored; an empty table gives no rows.
+Cases: null and empty texts have size 0 and give nothing; a source without words gets target 0; a null id's key comes
+from its text; ties in key go to the smaller id, then to the smaller hash of the text; other columns are ignored, and
+those carried along are fields of `carried`, so no name of theirs can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._shared import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -27,9 +30,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(ident: Column, seed: str) -> Column:
-    """In (0, 1), from the first 13 digits of a digest."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(ident.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(ident: Column, text: Column, seed: str) -> Column:
+    """In (0, 1), from the first 13 digits of a digest of the id, or of the text where that is null."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(ident.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -56,21 +59,25 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return each.withColumn("found", found).select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("found")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix-1:", ranges: int = 2048, whole: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target (its source's), taken, copies and the columns `carry`, for each row of doc_id, text and source.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix-1:", per_range: int = 200_000, whole: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target (its source's), taken, copies and carried (a struct of the columns `carry`; without
+    any, none), for each row of doc_id, text and source. There are as many key ranges as keep about `per_range` rows in one.
 
     copies: complete epochs, and one more for a document that gives words to the fraction.
 
     whole: the document at the edge is taken whole when at least half of it is missing, else not at all."""
     size = words(F.col("text"))
-    kept = [F.col(f"`{c}`").alias(f"carry_{k}") for k, c in enumerate(carry)]
-    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("row_hash"), *kept, size.alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("text"), size)).alias("key"))
+    ranges = max(2048, docs.count() // per_range)
+    kept = ["carried"] if carry else []
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("row_hash"), size.alias("size"), (-F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / quality(F.col("text"), size)).alias("key"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
+    if not carry:  # small rows, read three times; texts that are carried are read again instead
+        rows = stored(rows, "sizes")
     rows = rows.withColumn("range", F.floor(F.col("key") / (1.0 + F.col("key")) * ranges).cast("int"))
     goals = targets(rows, weights, share, most)
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     run = Window.partitionBy("source").orderBy("range")
     sums = sums.withColumn("before", F.sum("range_size").over(run) - F.col("range_size")).alias("s").join(goals.alias("g"), F.expr("s.source <=> g.source")).select("s.source", "s.range", "before", "source_size", "target")
-    rows = rows.alias("r").join(sums.alias("s"), F.expr("r.source <=> s.source and r.range = s.range")).select("doc_id", "r.source", "r.range", "row_hash", "size", "key", "before", "source_size", "target", *[f"carry_{k}" for k in range(len(carry))])
+    rows = rows.alias("r").join(sums.alias("s"), F.expr("r.source <=> s.source and r.range = s.range")).select("doc_id", "r.source", "r.range", "row_hash", "size", "key", "before", "source_size", "target", *kept)
     order = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "row_hash")
     start = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -80,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         part = F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
     rows = rows.withColumn("start", start).withColumn("epochs", epochs.cast("long"))
     copies = F.col("epochs") + (part > 0).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), copies.alias("copies"), *[F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry) if c not in ("doc_id", "size", "source_size", "target")])
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), copies.alias("copies"), *kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +98,7 @@ ORACLE = r"""
 WITH t AS (
   SELECT doc_id, source, text, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents
 ), k AS (
-  SELECT *, -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)
+  SELECT *, -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)
     / (CASE WHEN size > 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + abs(length(text)::DOUBLE / size - 6.0::DOUBLE) / 6.0::DOUBLE) ELSE 1.0::DOUBLE END) AS key FROM t
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM t GROUP BY source

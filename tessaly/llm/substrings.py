@@ -16,8 +16,8 @@
 Anchors and segments follow content, so a document meets only the shards that may hold its passages, and a family of
 copies sends one segment from each block. Words are compared by 40-bit hashes within equal-anchor segments.
 
-Cases: null texts and texts without words have no words; a null id is larger than any other; rows with one id don't
-count as smaller than each other; other columns are ignored; an empty table gives no rows.
+Cases: null texts and texts without words have no words; a null id counts as 2**63 - 1, the largest, where documents are
+compared; rows with one id don't count as smaller than each other; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from ._shared import gram_hashes, joined, mix, partitions, raw, slices, stored, word_hashes, words
+from ._shared import block_rows, gram_hashes, joined, lean, mix, partitions, raw, release, slices, stored, word_hashes, words
 
 LAST = (1 << 63) - 1
 GRAM = 8
@@ -161,16 +161,16 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
 
 def marked(docs: DataFrame, window: int, block_words: int) -> DataFrame:
     """Blocks of documents with their anchors."""
-    names = ["block", "ids", "prints", "sizes", "shas", "counts", "places", "hashes"]
+    names = ["block", "ids", "voids", "prints", "sizes", "shas", "counts", "places", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = [[] for _ in range(7)]
+        rows: list[list] = [[] for _ in range(8)]
         held = number = 0
 
         def out() -> pa.RecordBatch:
             cols = [pa.array([TaskContext.get().partitionId() << 32 | number])]
-            cols += [pa.array([x], pa.list_(t)) for x, t in zip(rows[:5], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)]
-            return pa.RecordBatch.from_arrays([*cols, *(pa.array([b"".join(x)], pa.binary()) for x in rows[5:])], names)
+            cols += [pa.array([x], pa.list_(t)) for x, t in zip(rows[:6], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)]
+            return pa.RecordBatch.from_arrays([*cols, *(pa.array([b"".join(x)], pa.binary()) for x in rows[6:])], names)
 
         for batch in slices(batches, "text"):
             data, offs = raw(batch.column("text"))
@@ -179,19 +179,19 @@ def marked(docs: DataFrame, window: int, block_words: int) -> DataFrame:
             _, at, grams = anchors(h, first, window)
             at = np.unique(at)
             cuts = np.searchsorted(at, first)
-            ids, prints = batch.column("doc").to_pylist(), batch.column("print").to_pylist()
+            ids, voids, prints = (batch.column(c).to_pylist() for c in ("doc", "void", "print"))
             for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                 own = at[cuts[k] : cuts[k + 1]]
-                for col, x in zip(rows, (ids[k], prints[k], b - a, hashlib.sha256(joined(data, start[a:b], end[a:b])).hexdigest(), len(own), (own - a).astype("<u4").tobytes(), grams[own].astype("<u8").tobytes()), strict=True):
+                for col, x in zip(rows, (ids[k], voids[k], prints[k], b - a, hashlib.sha256(joined(data, start[a:b], end[a:b])).hexdigest(), len(own), (own - a).astype("<u4").tobytes(), grams[own].astype("<u8").tobytes()), strict=True):
                     col.append(x)
             held += len(h)
             if held >= block_words or len(rows[0]) >= 200_000:
                 yield out()
-                rows, held, number = [[] for _ in range(7)], 0, number + 1
+                rows, held, number = [[] for _ in range(8)], 0, number + 1
         if rows[0]:
             yield out()
 
-    return stored(docs.mapInArrow(run, "block long, ids array<long>, prints array<long>, sizes array<long>, shas array<string>, counts array<long>, places binary, hashes binary"), "anchors")
+    return stored(docs.mapInArrow(lean(run), "block long, ids array<long>, voids array<boolean>, prints array<long>, sizes array<long>, shas array<string>, counts array<long>, places binary, hashes binary"), "anchors")
 
 
 def flagged(blocks: DataFrame, owners: int) -> DataFrame:
@@ -200,28 +200,27 @@ def flagged(blocks: DataFrame, owners: int) -> DataFrame:
     told = exchange.answers(blocks, key, ["hashes"], owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                again = exchange.unpack(key(row), row["answer"], owners) > 0
-                offs = np.append(0, np.cumsum(again))[np.append(0, np.cumsum(row["counts"]))]
-                places = np.frombuffer(row["places"], "<u4")[again].astype(np.int32)
-                cols = [pa.array(row["ids"], pa.int64()), pa.array(row["prints"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(row["shas"], pa.string()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(places))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc", "print", "n_words", "sha", "places"])
+        for row in block_rows(batches):
+            again = exchange.unpack(key(row), row["answer"], owners) > 0
+            offs = np.append(0, np.cumsum(again))[np.append(0, np.cumsum(row["counts"]))]
+            places = np.frombuffer(row["places"], "<u4")[again].astype(np.int32)
+            cols = [pa.array(row["ids"], pa.int64()), pa.array(row["voids"], pa.bool_()), pa.array(row["prints"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(row["shas"], pa.string()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(places))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "void", "print", "n_words", "sha", "places"])
 
-    both = blocks.join(told, "block", "left").select("ids", "prints", "sizes", "shas", "counts", "places", "hashes", "answer")
-    return stored(both.mapInArrow(run, "doc long, print long, n_words long, sha string, places array<int>"), "flagged")
+    both = blocks.join(told, "block", "left").select("ids", "voids", "prints", "sizes", "shas", "counts", "places", "hashes", "answer")
+    return stored(both.mapInArrow(lean(run), "doc long, void boolean, print long, n_words long, sha string, places array<int>"), "flagged")
 
 
 def segmented(docs: DataFrame, window: int, block_words: int) -> DataFrame:
     """Blocks of documents whose windows may repeat: their words, runs of such windows, and distinct segments."""
-    kind = "block long, ids array<long>, sizes array<long>, letters binary, run_start binary, run_size binary, run_segment binary, seg_start binary, seg_size binary, seg_anchor binary, seg_doc binary"
+    kind = "block long, ids array<long>, voids array<boolean>, sizes array<long>, letters binary, run_start binary, run_size binary, run_segment binary, seg_start binary, seg_size binary, seg_anchor binary, seg_doc binary"
     names = [x.split(" ")[0] for x in kind.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {"number": 0}
 
         def clear() -> None:
-            state.update(ids=[], sizes=[], letters=[], runs=[], words=0)
+            state.update(ids=[], voids=[], sizes=[], letters=[], runs=[], words=0)
 
         def out() -> pa.RecordBatch:
             start, many, anchor, print_, doc = (np.concatenate(x) for x in zip(*state["runs"], strict=True))
@@ -229,8 +228,8 @@ def segmented(docs: DataFrame, window: int, block_words: int) -> DataFrame:
             least = np.full(len(first), LAST, np.int64)
             np.minimum.at(least, where, doc)
             arrays = [start.astype("<i8"), many.astype("<i8"), where.astype("<i8"), start[first].astype("<i8"), (many[first] + window - 1).astype("<i8"), anchor[first].astype("<u8"), least]
-            row = [TaskContext.get().partitionId() << 32 | state["number"], state["ids"], state["sizes"], zlib.compress(b" ".join(state["letters"]), 1), *(zlib.compress(x.tobytes(), 1) for x in arrays)]
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 8]
+            row = [TaskContext.get().partitionId() << 32 | state["number"], state["ids"], state["voids"], state["sizes"], zlib.compress(b" ".join(state["letters"]), 1), *(zlib.compress(x.tobytes(), 1) for x in arrays)]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 8]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
         clear()
@@ -259,6 +258,7 @@ def segmented(docs: DataFrame, window: int, block_words: int) -> DataFrame:
             doc = ids[np.searchsorted(first, begin, side="right") - 1]
             state["runs"].append((begin + state["words"], many, grams[at], print_, doc))
             state["ids"] += ids.tolist()
+            state["voids"] += batch.column("void").to_pylist()
             state["sizes"] += np.diff(first).tolist()
             state["letters"].append(joined(data, start, end))
             state["words"] += len(h)
@@ -269,7 +269,7 @@ def segmented(docs: DataFrame, window: int, block_words: int) -> DataFrame:
         if state["ids"]:
             yield out()
 
-    return stored(docs.mapInArrow(run, kind), "segments")
+    return stored(docs.mapInArrow(lean(run), kind), "segments")
 
 
 def _un(x: bytes, kind: str) -> np.ndarray:
@@ -291,23 +291,19 @@ def shard_answers(blocks: DataFrame, window: int, step: int, owners: int) -> Dat
     columns = ["letters", "seg_start", "seg_size", "seg_anchor", "seg_doc"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = np.frombuffer(zlib.decompress(row["letters"]), np.uint8)
-                start, end, _ = words(data, np.array([0, len(data)]))
-                h = word_hashes(data, start, end) & WORD
-                begin, size, doc = _un(row["seg_start"], "<i8"), _un(row["seg_size"], "<i8"), _un(row["seg_doc"], "<i8")
-                owner = (mix(_un(row["seg_anchor"], "<u8")) % np.uint64(owners)).astype(np.int64)
-                by = np.argsort(owner, kind="stable")
-                cuts, got = np.searchsorted(owner[by], np.arange(owners + 1)), []
-                for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if b > a:
-                        own = by[a:b]
-                        each = size[own]
-                        at = np.repeat(begin[own] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-                        got.append((o, row["block"], own.astype("<i8").tobytes(), each.astype("<i8").tobytes(), doc[own].tobytes(), _pack40(h[at])))
-                cols = list(zip(*got, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)], ["owner", "block", "segments", "lengths", "docs", "codes"])
+        for row in block_rows(batches):
+            data = np.frombuffer(zlib.decompress(row["letters"]), np.uint8)
+            start, end, _ = words(data, np.array([0, len(data)]))
+            h = word_hashes(data, start, end) & WORD
+            begin, size, doc = _un(row["seg_start"], "<i8"), _un(row["seg_size"], "<i8"), _un(row["seg_doc"], "<i8")
+            owner = (mix(_un(row["seg_anchor"], "<u8")) % np.uint64(owners)).astype(np.int64)
+            by, got = np.argsort(owner, kind="stable"), []
+            for own in np.split(by, np.flatnonzero(np.diff(owner[by])) + 1) if len(by) else ():
+                each = size[own]
+                at = np.repeat(begin[own] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+                got.append((int(owner[own[0]]), row["block"], own.astype("<i8").tobytes(), each.astype("<i8").tobytes(), doc[own].tobytes(), _pack40(h[at])))
+            cols = list(zip(*got, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)], ["owner", "block", "segments", "lengths", "docs", "codes"])
 
     def own(frame: pd.DataFrame) -> pd.DataFrame:
         lengths = [np.frombuffer(x, "<i8") for x in frame["lengths"]]
@@ -330,18 +326,19 @@ def shard_answers(blocks: DataFrame, window: int, step: int, owners: int) -> Dat
             w = where[k : k + n]
             out.append(zlib.compress(found[np.repeat(begin[w] - (np.cumsum(many[w]) - many[w]), many[w]) + np.arange(int(many[w].sum()))].tobytes(), 1))
             k += n
+        release()
         return pd.DataFrame({"block": frame["block"], "segments": frame["segments"], "firsts": out})
 
-    sent = blocks.select("block", *columns).mapInArrow(send, "owner int, block long, segments binary, lengths binary, docs binary, codes binary")
+    sent = blocks.select("block", *columns).mapInArrow(lean(send), "owner int, block long, segments binary, lengths binary, docs binary, codes binary")
     told = sent.groupBy("owner").applyInPandas(own, "block long, segments binary, firsts binary")
     return told.groupBy("block").agg(F.collect_list(F.struct("segments", "firsts")).alias("answer"))
 
 
-def remove(docs: DataFrame, window: int = 50, step: int = 10, block_words: int = 2_000_000, shard_words: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, window: int = 50, step: int = 10, block_words: int = 500_000, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each document."""
     if window % step or window < GRAM:
         raise ValueError("window must be a multiple of step, and 8 at least")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(id_col).isNull().alias("void"), F.col(text_col).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
     blocks = marked(rows, window, block_words)
     n = blocks.agg(F.sum(F.length("hashes") / 8)).first()[0] or 0
     parts = partitions(docs.sparkSession)
@@ -349,48 +346,47 @@ def remove(docs: DataFrame, window: int = 50, step: int = 10, block_words: int =
     some = found.where(F.size("places") > 0)
     total = some.agg(F.sum(F.size("places"))).first()[0] or 0
     owners = max(parts, total * (3 * window // 2) // shard_words)
-    again = rows.join(some.dropDuplicates(["doc", "print"]).select("doc", "print", "places"), ["doc", "print"]).select("doc", "text", "places")
+    again = rows.join(some.dropDuplicates(["doc", "void", "print"]).select("doc", "void", "print", "places"), ["doc", "void", "print"]).select("doc", "void", "text", "places")
     held = segmented(again, window, block_words)
     told = shard_answers(held, window, step, owners)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = np.frombuffer(zlib.decompress(row["letters"]), np.uint8)
-                start, end, _ = words(data, np.array([0, len(data)]))
-                first = np.append(0, np.cumsum(row["sizes"]))
-                ids = np.array(row["ids"], np.int64)
-                begin, many, seg = _un(row["run_start"], "<i8"), _un(row["run_size"], "<i8"), _un(row["run_segment"], "<i8")
-                n = _un(row["seg_size"], "<i8") - window + 1
-                offs = np.append(0, np.cumsum(n))
-                firsts = np.full(int(offs[-1]), LAST, np.int64)
-                for x in row["answer"] or []:
-                    own = np.frombuffer(x["segments"], "<i8")
-                    at = np.repeat(offs[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(int(n[own].sum()))
-                    firsts[at] = _un(x["firsts"], "<i8")
-                shift = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                window_at = np.repeat(begin, many) + shift
-                doc = ids[np.searchsorted(first, begin, side="right") - 1]
-                gone = firsts[np.repeat(offs[seg], many) + shift] < np.repeat(doc, many)
-                cover = np.zeros(len(start) + 1, np.int64)
-                np.add.at(cover, window_at[gone], 1)
-                np.subtract.at(cover, window_at[gone] + window, 1)
-                keep = np.cumsum(cover[:-1]) == 0
-                shas, lost = [], []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    k = np.flatnonzero(keep[a:b]) + a
-                    lost.append(b - a - len(k))
-                    each = end[k] - start[k] + 1
-                    at = np.repeat(start[k] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-                    body = np.append(data, np.uint8(32))[at]
-                    body[np.cumsum(each) - 1] = 32
-                    shas.append(hashlib.sha256(body[:-1].tobytes()).hexdigest())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(row["sizes"], pa.int64()), pa.array(lost, pa.int64()), pa.array(shas, pa.string())], ["doc", "n_words", "n_removed", "kept_sha256"])
+        for row in block_rows(batches):
+            data = np.frombuffer(zlib.decompress(row["letters"]), np.uint8)
+            start, end, _ = words(data, np.array([0, len(data)]))
+            first = np.append(0, np.cumsum(row["sizes"]))
+            ids = np.array(row["ids"], np.int64)
+            begin, many, seg = _un(row["run_start"], "<i8"), _un(row["run_size"], "<i8"), _un(row["run_segment"], "<i8")
+            n = _un(row["seg_size"], "<i8") - window + 1
+            offs = np.append(0, np.cumsum(n))
+            firsts = np.full(int(offs[-1]), LAST, np.int64)
+            for x in row["answer"] or []:
+                own = np.frombuffer(x["segments"], "<i8")
+                at = np.repeat(offs[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(int(n[own].sum()))
+                firsts[at] = _un(x["firsts"], "<i8")
+            shift = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            window_at = np.repeat(begin, many) + shift
+            doc = ids[np.searchsorted(first, begin, side="right") - 1]
+            gone = firsts[np.repeat(offs[seg], many) + shift] < np.repeat(doc, many)
+            cover = np.zeros(len(start) + 1, np.int64)
+            np.add.at(cover, window_at[gone], 1)
+            np.subtract.at(cover, window_at[gone] + window, 1)
+            keep = np.cumsum(cover[:-1]) == 0
+            shas, lost = [], []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                k = np.flatnonzero(keep[a:b]) + a
+                lost.append(b - a - len(k))
+                each = end[k] - start[k] + 1
+                at = np.repeat(start[k] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+                body = np.append(data, np.uint8(32))[at]
+                body[np.cumsum(each) - 1] = 32
+                shas.append(hashlib.sha256(body[:-1].tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(row["voids"], pa.bool_()), pa.array(row["sizes"], pa.int64()), pa.array(lost, pa.int64()), pa.array(shas, pa.string())], ["doc", "void", "n_words", "n_removed", "kept_sha256"])
 
     both = held.drop("seg_start", "seg_anchor", "seg_doc").join(told, "block", "left").select("ids", "sizes", "letters", "run_start", "run_size", "run_segment", "seg_size", "answer")
-    out = both.mapInArrow(cut, "doc long, n_words long, n_removed long, kept_sha256 string")
-    out = out.unionByName(found.where(F.size("places") == 0).select("doc", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
-    return out.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    out = both.mapInArrow(lean(cut), "doc long, void boolean, n_words long, n_removed long, kept_sha256 string")
+    out = out.unionByName(found.where(F.size("places") == 0).select("doc", "void", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
+    return out.select(F.when(~F.col("void"), F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

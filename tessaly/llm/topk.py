@@ -67,8 +67,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, tile: int = 4096, s
     place = lambda salt, m: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     queries = rows.where("q").groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", "x", F.size("x").alias("dim"), place(1, tiles).alias("tile")).withColumn("shard", spread(shards))
-    # A candidate's shard follows its row, not its vector: copies spread out.
-    candidates = rows.select(F.col("vec_id").alias("own_id"), F.col("x").alias("y"), F.col("dim").alias("dim_"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard_")).withColumn("tile_", spread(tiles))
+    # A candidate's shard follows its place in the table, not its id or vector: copies of either spread out.
+    candidates = rows.select(F.col("vec_id").alias("own_id"), F.col("x").alias("y"), F.col("dim").alias("dim_"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard_")).withColumn("tile_", spread(tiles))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         made = []

@@ -40,7 +40,7 @@ def test_targets_and_epochs(spark):
     assert sorted(map(str, got)) == sorted(map(str, mix.mix(docs.repartition(3)).collect()))
     edge = mix.mix(docs, whole=True).collect()
     assert all(r.taken == r.copies * r.size for r in edge)
-    full = mix.mix(docs, whole=True, carry=tuple(docs.columns)).where("copies > 0").select(*docs.columns)
+    full = mix.mix(docs, whole=True, carry=tuple(docs.columns)).where("copies > 0").select("carried.*")
     assert full.exceptAll(docs).count() == 0
     assert mix.mix(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline as pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 from tessaly.llm import mix
 from tokenizers import Tokenizer
 
@@ -30,7 +31,7 @@ def test_stages(spark):
     assert 7 not in {r.doc_id for r in apart.collect()}
     assert {r.doc_id for r in apart.collect()} == {d for d, _, c in brute(own, 80) if d == c}
     mixed = pipeline.mix_sources(spark, apart, "").cache()
-    times = {(r.doc_id, r.source): r.copies for r in mix.mix(apart, whole=True, carry=("source",)).collect()}
+    times = {(r.doc_id, r.carried.source): r.copies for r in mix.mix(apart, whole=True, carry=("source",)).collect()}
     assert mixed.columns == docs.columns and mixed.count() == sum(times.values())
     pieces = pipeline.pack_windows(spark, mixed, "").collect()
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -42,3 +43,24 @@ def test_no_documents(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.collect() == []
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["size", "source_size", "target", "taken", "copies", "carried", "score", "lang_pred", "_text", "_id", "_sha", "_points", "a.b", "mark", "key", "n", "id", "void", "sha", "points", "col"]
+    docs = documents(spark)
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(f"own {k}"))
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        if name != "pack":
+            docs = docs.cache()
+            assert docs.columns[-len(names) :] == names and docs.count()
+            assert all(tuple(r)[-len(names) :] == tuple(f"own {k}" for k in range(len(names))) for r in docs.collect())
+    assert docs.count()
+
+
+def test_null_and_largest_id_stay_apart(spark):
+    top = (1 << 63) - 1
+    text = "one text that both of them hold"
+    docs = spark.createDataFrame([(top, text, "en", "a", 1, "x", "y"), (None, text, "en", "a", 1, "x", "y")], SCHEMA)
+    assert [r.doc_id for r in pipeline.exact_dedup(spark, docs, "").collect()] == [top]
