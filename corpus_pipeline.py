@@ -8,7 +8,8 @@
 5. pack: token windows of 2048; one row for each piece.
 
 Cases: null and empty texts go in the first stage, as they have no language; rows without an id stay apart in stage 3
-only from documents with one; all columns of documents pass through stages 1 to 4; an empty table gives no rows.
+only from documents with one; rows that share an id stay there if one of them does; all columns of documents pass
+through stages 1 to 4 under any name (they travel as one struct); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,30 +18,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaly.llm import exact, jaccard, langid, mix, pack
-from tessaly.llm._shared import stored
+from tessaly.llm._shared import discard, stored
+
+
+def _folded(docs: DataFrame, *own: str) -> DataFrame:
+    """The named columns, and all columns as `carried`: what operators add can't clash with it."""
+    return docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     told = langid.classify(docs, langid.learn(docs))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") > least)).select(*docs.columns)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") > least)).select("carried.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact.duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(jaccard.LAST)).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("points").alias("_points"))
+    key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("void")]
+    kept = exact.duplicates(docs).where("kept").select(*key, F.col("text_sha256").alias("sha"), "points")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(jaccard.LAST)), "_sha": F.sha2(F.translate(text, exact.SPACE.decode(), ""), 256), "_points": F.length(text).cast("long")})
-    keys = ["_id", "_sha", "_points"]
-    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    rows = _folded(docs, "doc_id", "text").select(*key, F.sha2(F.translate(text, exact.SPACE.decode(), ""), 256).alias("sha"), F.length(text).cast("long").alias("points"), "carried")
+    keys = ["id", "void", "sha", "points"]
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select("carried.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = jaccard.linked(docs, shingle=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left_semi").select(*docs.columns)
+    return _folded(docs, "doc_id").alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left_semi").select("carried.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix.mix(docs, whole=True, carry=tuple(docs.columns)).where("copies > 0")
-    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    return taken.select("carried", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("carried.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, name)
+            if last is not None:
+                discard(last)
+            last = docs
     return docs
