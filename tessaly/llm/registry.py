@@ -16,7 +16,9 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_weighted_source_mix": mix.ORACLE,
+    "op3_token_combination_join": jaccard.ORACLE,
     "op4_line_dedup": lines.ORACLE,
     "op7_golomb_exact_dedup": exact.ORACLE,
+    "op8_fm_index_substrings": substrings.ORACLE,
     "op9_tiled_top_k": topk.ORACLE,
 }

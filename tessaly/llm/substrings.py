@@ -383,7 +383,7 @@ def remove(docs: DataFrame, window: int = 50, step: int = 10, block_words: int =
                 shas.append(hashlib.sha256(body[:-1].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(row["voids"], pa.bool_()), pa.array(row["sizes"], pa.int64()), pa.array(lost, pa.int64()), pa.array(shas, pa.string())], ["doc", "void", "n_words", "n_removed", "kept_sha256"])
 
-    both = held.drop("seg_start", "seg_anchor", "seg_doc").join(told, "block", "left").select("ids", "sizes", "letters", "run_start", "run_size", "run_segment", "seg_size", "answer")
+    both = held.drop("seg_start", "seg_anchor", "seg_doc").join(told, "block", "left").select("ids", "voids", "sizes", "letters", "run_start", "run_size", "run_segment", "seg_size", "answer")
     out = both.mapInArrow(lean(cut), "doc long, void boolean, n_words long, n_removed long, kept_sha256 string")
     out = out.unionByName(found.where(F.size("places") == 0).select("doc", "void", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
     return out.select(F.when(~F.col("void"), F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -391,3 +391,23 @@ def remove(docs: DataFrame, window: int = 50, step: int = 10, block_words: int =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents
+), s AS (
+  SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS key FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+), g AS (
+  SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM s
+), p AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+), c AS (
+  SELECT p.r, p.word, p.i, coalesce(bool_or(g.gone) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS cut
+  FROM p LEFT JOIN g ON p.r = g.r AND p.i = g.i
+), k AS (
+  SELECT r, count(*) FILTER (cut) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT cut), '')) AS kept_sha256 FROM c GROUP BY r
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r
+"""

@@ -60,3 +60,15 @@ def test_against_brute_force(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert sum(r.n_removed for r in got) > 1000
     assert substrings.remove(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_null_ids_and_the_largest_id(spark):
+    words = " ".join(f"v{k}" for k in range(60))
+    top = (1 << 63) - 1
+    docs = spark.createDataFrame([(top, words), (None, words), (None, words + " end"), (3, "short")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove(docs).collect()), key=str)
+    # A null id counts as the largest one, so neither is smaller than the other.
+    assert got == sorted([(top, 60, 0), (None, 60, 0), (None, 61, 0), (3, 1, 0)], key=str)
+    docs = docs.union(spark.createDataFrame([(7, words)], docs.schema))
+    got = sorted(((r.doc_id, r.n_removed) for r in substrings.remove(docs).collect()), key=str)
+    assert got == sorted([(top, 60), (None, 60), (None, 60), (3, 0), (7, 0)], key=str)
