@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,16 +19,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once, however often it stands there."""
+    return F.transform(F.array(c), use)[0]
+
+
 def unit(v: Column) -> Column:
     """Scaled to length 1; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return bound(v, lambda t: bound(norm(t), lambda n: F.when(n > 0, F.transform(t, lambda x: x / n)).otherwise(t)))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector is zero."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+    return bound(a, lambda x: bound(b, lambda y: bound(norm(x) * norm(y), lambda n: F.when(n > 0, dot(x, y) / n).otherwise(F.lit(0.0)))))
 
 
 def mean_unit(vectors: Column, dim: int) -> Column:

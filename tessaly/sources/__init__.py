@@ -1 +1 @@
-"""Subpackage of the engine."""
+"""Records as lines of JSON: sources in file order, strict and keyed ones, id lists, templates, and sinks."""
