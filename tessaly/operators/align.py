@@ -44,5 +44,9 @@ def containment(covered: DataFrame) -> DataFrame:
 def recovered(sentences: DataFrame, texts: DataFrame) -> DataFrame:
     """sample_id, text_no, sid for rows sample_id, text_no, text: the first equal sentence, else the first that holds it."""
     s = sentences.select("sample_id", "sent_no", "sid", F.col("text").alias("sentence"))
-    hit = s.join(texts, "sample_id").where(F.contains("sentence", F.col("text")))
-    return hit.groupBy("sample_id", "text_no").agg(F.min_by("sid", F.struct((F.col("sentence") != F.col("text")).alias("part"), "sent_no")).alias("sid"))
+    t = texts.select("sample_id", "text_no", "text")
+    # Equal ones meet by their text; only the rest is looked for inside the sample's sentences.
+    whole = s.select("sample_id", "sent_no", "sid", F.col("sentence").alias("text")).join(t, ["sample_id", "text"]).groupBy("sample_id", "text_no").agg(F.min_by("sid", "sent_no").alias("sid"))
+    rest = t.join(whole, ["sample_id", "text_no"], "left_anti")
+    part = s.join(rest, "sample_id").where(F.contains("sentence", F.col("text"))).groupBy("sample_id", "text_no").agg(F.min_by("sid", "sent_no").alias("sid"))
+    return whole.unionByName(part)

@@ -20,7 +20,7 @@ def best_pairs(weights: list[list[float | None]], by_count: bool = False) -> lis
     if not n or not m:
         return []
     gain = np.array([[-1.0 if w is None or w != w or w < 0 else 1.0 if by_count else w for w in r] for r in weights])
-    return _by_subsets(gain) if m <= 12 else _by_prices(gain)
+    return _by_subsets(gain) if m <= 12 else _in_order(gain)
 
 
 def _by_subsets(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -48,8 +48,26 @@ def _by_subsets(gain: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _by_prices(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Shortest augmenting paths with node prices, on the matrix with one dummy column for each row."""
+def _in_order(gain: np.ndarray, near: float = 1e-9) -> list[tuple[int, int]]:
+    """The first of the best assignments in lexical order of rows' choices, staying alone last: row by row the smallest
+    column that leaves the best total possible. Only columns without slack are tried."""
+    out, free = [], np.arange(gain.shape[1])
+    for i in range(len(gain)):
+        rest = gain[i:][:, free]
+        pairs, slack = _by_prices(rest)
+        mine = next((j for r, j in pairs if r == 0), -1)
+        value = sum(rest[r, j] for r, j in pairs)
+        for j in np.flatnonzero((rest[0] >= 0) & (slack[0, : len(free)] <= near)).tolist():
+            without = np.delete(rest[1:], j, axis=1)
+            if j == mine or rest[0, j] + sum(without[r, c] for r, c in _by_prices(without)[0]) >= value - near:
+                out.append((i, int(free[j])))
+                free = np.delete(free, j)
+                break
+    return out
+
+
+def _by_prices(gain: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Shortest augmenting paths with node prices, on the matrix with one dummy column for each row; and each cell's slack."""
     n, m = gain.shape
     cost = np.concatenate([np.where(gain >= 0, -gain, 1e6), np.zeros((n, n))], axis=1)
     row_price, col_price = np.zeros(n + 1), np.zeros(m + n + 1)
@@ -77,7 +95,8 @@ def _by_prices(gain: np.ndarray) -> list[tuple[int, int]]:
         while at:
             owner[at] = owner[via[at]]
             at = via[at]
-    return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j] and gain[owner[j] - 1, j - 1] >= 0)
+    pairs = sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j] and gain[owner[j] - 1, j - 1] >= 0)
+    return pairs, cost - row_price[1:, None] - col_price[None, 1:]
 
 
 def matched(weights: Column, by_count: bool = False) -> Column:

@@ -1,7 +1,8 @@
 """Sentence tokens and the line protocol of extraction replies, as Column expressions.
 
 A token names a sentence, S12, perhaps with clauses in circled numbers, S12.②-④, in plain ones, S12.c2-c4, or with a
-range of characters, S12:3-9. Whatever doesn't fit names the whole sentence."""
+range of characters, S12:3-9. A range that doesn't fit its sentence names the whole sentence; what is no token at all, or
+names no known sentence, is passed by."""
 
 from __future__ import annotations
 

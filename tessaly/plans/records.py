@@ -76,22 +76,22 @@ def containment_stats(spark, sf_dir):
 
 
 def recover_ids(spark, sf_dir):
-    """Each document's second sentence, looked up again among all."""
+    """Every sentence, whole and by its part from the third character on, looked up again among its document's."""
     s = _sentences(spark, sf_dir)
-    wanted = s.where("sent_no = 2").select("sample_id", F.lit(0).alias("text_no"), F.substring("text", 1, 20).alias("text"))
-    return align.recovered(s, wanted)
+    each = F.array(F.struct((F.col("sent_no") * 2).alias("text_no"), F.col("text").alias("text")), F.struct((F.col("sent_no") * 2 + 1).alias("text_no"), F.expr("substring(text, 3)").alias("text")))
+    return align.recovered(s, s.select("sample_id", F.explode(each).alias("x")).select("sample_id", "x.*").where("text <> ''"))
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reply for each document that cites its sentences in turn."""
-    d = _samples(spark, sf_dir).select("sample_id")
+    """A reply for each document that cites its sentences in turn, last ones too, and some that it lacks."""
+    d = _sentences(spark, sf_dir).groupBy("sample_id").agg(F.max("sent_no").alias("most"))
     k = F.col("sample_id")
-    cite = lambda n: F.concat(F.lit("ISSUE name"), ((k + n) % 3).cast("string"), F.lit(" ||| "), F.when((k + n) % 2 == 0, "support").otherwise("OPPOSE"), F.lit(" ||| S01, "), F.format_string("S%02d", (k * 7 + n) % 12 + 1), F.lit(", S02.c1"))
+    cite = lambda n: F.concat(F.lit("ISSUE name"), ((k + n) % 3).cast("string"), F.lit(" ||| "), F.when((k + n) % 2 == 0, "support").otherwise("OPPOSE"), F.lit(" ||| S01, "), F.format_string("S%02d", (k * 7 + n) % (F.col("most") + 2) + 1), F.lit(", S02.c1"))
     return d.select("sample_id", F.concat_ws("\n", cite(0), F.lit("noise"), cite(1), cite(2), F.lit("FUTURE first"), F.lit("FUTURE second")).alias("reply"))
 
 
 def compile_protocol(spark, sf_dir):
-    s = _sentences(spark, sf_dir).where("sent_no <= 12").select("sample_id", "sid", "text")
+    s = _sentences(spark, sf_dir).select("sample_id", "sid", "text")
     out = protocol.compile_replies(_replies(spark, sf_dir), s)
     return out.select("sample_id", "issue_no", "name", "stance", F.size("evidence").alias("n_evidence"), F.md5(F.array_join("evidence", "|").cast("binary")).alias("digest"), "future")
 

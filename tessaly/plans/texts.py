@@ -83,14 +83,22 @@ def stance_parse(spark, sf_dir):
 
 def containment_pairs(spark, sf_dir):
     """Which documents hold which passages whole. A passage's words meet documents by its rarest-looking word, its
-    longest, so no passage is held against every document."""
+    longest, so no passage is held against every document; one without a word between white space meets them by its
+    first characters, eight at most. An empty passage is none."""
     word = r"[^\x20\x09-\x0D]+"
     d = _documents(spark, sf_dir).select("doc_id", "text")
     words = d.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("w"))
     inner = F.regexp_extract_all("text", F.lit(r"(?<=[\x20\x09-\x0D])[^\x20\x09-\x0D]+(?=[\x20\x09-\x0D])"), F.lit(0))
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
     p = _passages(spark, sf_dir).select("item_id", F.col("text").alias("passage"), longest.alias("w"))
-    hits = words.select("doc_id", "w").join(p.select("item_id", "w"), "w").select("doc_id", "item_id").distinct()
+    hits = words.select("doc_id", "w").join(p.select("item_id", "w"), "w").select("doc_id", "item_id")
+    size = F.least(F.lit(8), F.length("passage"))
+    few = p.where("w is null and passage <> ''").select("item_id", size.alias("n"), F.expr("substring(passage, 1, 8)").alias("gram"))
+    for r in few.select("n").distinct().collect():  # eight lengths at most
+        each = F.expr(f"array_distinct(transform(sequence(1, length(text) - {r.n} + 1), i -> substring(text, i, {r.n})))")
+        grams = d.where(F.length("text") >= r.n).select("doc_id", F.explode(each).alias("gram"))
+        hits = hits.unionByName(grams.join(few.where(F.col("n") == r.n), "gram").select("doc_id", "item_id"))
+    hits = hits.distinct()
     return hits.join(d, "doc_id").join(p.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
 
 
