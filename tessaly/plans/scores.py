@@ -2,7 +2,8 @@
 
 Ten vectors with neighbouring ids make a sample of five reference and five predicted records: the even ones plus a share
 of the second one are references, and predictions are mixed from references and the odd ones, so that some are near,
-some ambiguous and some lost."""
+some ambiguous and some lost. A vector's halves stand for a record's name and arguments; their cosines stand for the
+agreement of texts and futures."""
 
 from __future__ import annotations
 
@@ -19,6 +20,15 @@ def _times(k: float):
     return lambda p: p * F.lit(k)
 
 
+def measure(p, g):
+    name, arg = V.cosine(p["name_v"], g["name_v"]), V.cosine(p["arg_v"], g["arg_v"])
+    return F.struct(name.alias("alpha"), arg.alias("rouge"), name.alias("semantic"))
+
+
+def halves(records):
+    return F.transform(records, lambda x: F.struct(x["stance"].alias("stance"), x["v"].alias("v"), F.slice(x["v"], 1, 32).alias("name_v"), F.slice(x["v"], 33, 32).alias("arg_v")))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.expr("vec_id div 10").alias("sample_id"), F.struct((F.col("vec_id") % 10).alias("m"), F.col("embedding").cast("array<double>").alias("v"), "label").alias("x"))
     g = e.groupBy("sample_id").agg(F.sort_array(F.collect_list("x")).alias("x")).where("size(x) = 10")
@@ -32,7 +42,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = add(add(F.transform(own["v"], _times(a)), other["v"], b), noise, n)
         stance = own["stance"] if j < 4 else F.when(own["stance"] == "support", "neutral").otherwise("support")
         preds.append(F.struct(stance.alias("stance"), v.alias("v")))
-    return g.select("sample_id", F.array(*preds).alias("preds"), "golds")
+    return g.select("sample_id", halves(F.array(*preds)).alias("preds"), halves(F.col("golds")).alias("golds"))
 
 
 ROWS = """
@@ -52,25 +62,26 @@ WITH RECURSIVE e AS (
   FROM gold p JOIN gold o ON p.g = o.g AND o.j = (p.j + 1) % 5 JOIN mixing c ON c.j = p.j
 ), cosines AS (
   SELECT p.g AS sample_id, p.i, g.j, p.stance = g.stance AS same_stance,
-    list_inner_product(p.v, g.v) / (sqrt(list_inner_product(p.v, p.v)) * sqrt(list_inner_product(g.v, g.v))) AS c
+    list_inner_product(p.v[1:32], g.v[1:32]) / (sqrt(list_inner_product(p.v[1:32], p.v[1:32])) * sqrt(list_inner_product(g.v[1:32], g.v[1:32]))) AS c,
+    list_inner_product(p.v[33:64], g.v[33:64]) / (sqrt(list_inner_product(p.v[33:64], p.v[33:64])) * sqrt(list_inner_product(g.v[33:64], g.v[33:64]))) AS d
   FROM pred p JOIN gold g ON p.g = g.g
 ), pairs AS (
-  SELECT sample_id, i, j, same_stance, 0.4::DOUBLE * c + 0.6::DOUBLE * c AS w FROM cosines
+  SELECT sample_id, i, j, same_stance, 0.4::DOUBLE * c + 0.6::DOUBLE * d AS w, c, d FROM cosines
 ), options AS (
-  SELECT sample_id, i, j, w FROM pairs WHERE same_stance AND w > 0.7::DOUBLE
-  UNION ALL SELECT g, i, -1, 0.0::DOUBLE FROM x, range(5) t(i)
+  SELECT sample_id, i, j, w, c, d FROM pairs WHERE same_stance AND w > 0.7::DOUBLE
+  UNION ALL SELECT g, i, -1, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM x, range(5) t(i)
 ), walk AS (
-  SELECT g AS sample_id, 0::BIGINT AS i, 0::BIGINT AS used, 0.0::DOUBLE AS total, 0::BIGINT AS n, []::BIGINT[] AS mine FROM x
+  SELECT g AS sample_id, 0::BIGINT AS i, 0::BIGINT AS used, 0.0::DOUBLE AS total, 0::BIGINT AS n, []::BIGINT[] AS mine, []::BIGINT[] AS theirs, 0.0::DOUBLE AS c, 0.0::DOUBLE AS d FROM x
   UNION ALL
   SELECT s.sample_id, s.i + 1, CASE WHEN o.j < 0 THEN s.used ELSE s.used | (1::BIGINT << o.j::INT) END, s.total + o.w, s.n + (o.j >= 0)::INT,
-    CASE WHEN o.j < 0 THEN s.mine ELSE list_append(s.mine, s.i) END
+    CASE WHEN o.j < 0 THEN s.mine ELSE list_append(s.mine, s.i) END, CASE WHEN o.j < 0 THEN s.theirs ELSE list_append(s.theirs, o.j) END, s.c + o.c, s.d + o.d
   FROM walk s JOIN options o ON s.sample_id = o.sample_id AND s.i = o.i WHERE s.i < 5 AND (o.j < 0 OR s.used & (1::BIGINT << greatest(o.j, 0)::INT) = 0)
 ), best AS (
-  SELECT sample_id, arg_max(n, total)::INT AS n_matched, max(total) AS total, arg_max(mine, total) AS mine, max(n)::INT AS most FROM walk WHERE i = 5 GROUP BY sample_id
+  SELECT sample_id, arg_max(n, total)::INT AS n_matched, max(total) AS total, arg_max(mine, total) AS mine, arg_max(theirs, total) AS theirs, arg_max(c, total) AS c, arg_max(d, total) AS d, max(n)::INT AS most FROM walk WHERE i = 5 GROUP BY sample_id
 ), sc AS (
-  SELECT *, n_matched / 5.0::DOUBLE AS p, CASE WHEN n_matched > 0 THEN total / n_matched ELSE 0.0::DOUBLE END AS alpha FROM best
+  SELECT *, n_matched / 5.0::DOUBLE AS p, CASE WHEN n_matched > 0 THEN c / n_matched ELSE 0.0::DOUBLE END AS alpha FROM best
 ), scored AS (
-  SELECT *, p AS f1_ext, p * (0.7::DOUBLE + 0.3::DOUBLE * alpha) AS s_ext, total / 5.0::DOUBLE AS s_pred FROM sc
+  SELECT *, p AS f1_ext, p * (0.7::DOUBLE + 0.3::DOUBLE * alpha) AS s_ext, 0.6::DOUBLE * d / 5 + 0.4::DOUBLE * c / 5 AS s_pred FROM sc
 ), lost AS (
   SELECT b.sample_id, t.i, CASE WHEN NOT bool_or(q.w > 0.7::DOUBLE) THEN 'low_sim' WHEN NOT bool_or(q.w > 0.7::DOUBLE AND q.same_stance) THEN 'stance_blocked' ELSE 'extra' END AS reason
   FROM best b, range(5) t(i) JOIN pairs q ON q.sample_id = b.sample_id AND q.i = t.i WHERE NOT list_contains(b.mine, t.i) GROUP BY b.sample_id, t.i
@@ -94,43 +105,49 @@ def gated_edges(spark, sf_dir):
 
 
 def match_weight_score(spark, sf_dir):
-    return S.sample_scores(samples(spark, sf_dir)).select("sample_id", "n_matched", _r("total"))
+    return S.sample_scores(samples(spark, sf_dir), measure=measure).select("sample_id", "n_matched", _r("total"))
 
 
 def match_cardinality(spark, sf_dir):
-    s = S.sample_scores(samples(spark, sf_dir), by_count=True)
+    s = S.sample_scores(samples(spark, sf_dir), by_count=True, measure=measure)
     return s.select("sample_id", F.when(F.col("total") >= 0, F.col("n_matched")).alias("most"))
 
 
 def sample_score(spark, sf_dir):
-    s = S.sample_scores(samples(spark, sf_dir))
+    s = S.sample_scores(samples(spark, sf_dir), measure=measure)
     return s.select("sample_id", "n_matched", *[_r(c) for c in ("precision", "recall", "f1_ext", "alpha", "s_ext", "s_pred", "score")])
 
 
 def dataset_score(spark, sf_dir):
-    s = S.sample_scores(samples(spark, sf_dir))
+    s = S.sample_scores(samples(spark, sf_dir), measure=measure)
     return s.agg(*[F.round(F.avg(c), 6).alias(c) for c in ("score", "s_ext", "s_pred", "f1_ext", "alpha")], F.sum("n_matched").cast("long").alias("n_matched"), F.count("*").alias("n_samples"))
 
 
 def classify_unmatched(spark, sf_dir):
-    return S.reasons(S.sample_scores(samples(spark, sf_dir)))
+    return S.reasons(S.sample_scores(samples(spark, sf_dir), measure=measure))
 
 
 def attribution_totals(spark, sf_dir):
-    a = S.attribution(S.sample_scores(samples(spark, sf_dir)))
+    a = S.attribution(S.sample_scores(samples(spark, sf_dir), measure=measure))
     return a.agg(*[F.sum(c).cast("long").alias(c) for c in ("low_sim", "stance_blocked", "extra", "pred_extra", "gold_missed")], F.count_if((F.col("pred_extra") > 0) & (F.col("n_pred") >= F.col("n_gold"))).alias("over_predicted"))
 
 
+def attribution_detail(spark, sf_dir):
+    d = S.detail(S.sample_scores(samples(spark, sf_dir), measure=measure))
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return d.select("sample_id", text("matches", lambda m: F.concat(m["i"], F.lit("-"), m["j"])).alias("matches"), F.round(F.aggregate("matches", F.lit(0.0), lambda s, m: s + m["weight"]), 4).alias("weight"), text("unmatched_pred", lambda x: F.concat(x["i"], F.lit(":"), x["reason"])).alias("unmatched_pred"), F.array_join(F.transform("unmatched_gold", lambda j: j.cast("string")), ",").alias("unmatched_gold"))
+
+
 def headroom(spark, sf_dir):
-    return S.headroom(S.attribution(S.sample_scores(samples(spark, sf_dir)))).select("kind", "gained", _r("gain"))
+    return S.headroom(S.attribution(S.sample_scores(samples(spark, sf_dir), measure=measure))).select("kind", "gained", _r("gain"))
 
 
 def worst_samples(spark, sf_dir):
-    return S.sample_scores(samples(spark, sf_dir)).select("sample_id", _r("score")).orderBy("score", "sample_id").limit(5)
+    return S.sample_scores(samples(spark, sf_dir), measure=measure).select("sample_id", _r("score")).orderBy("score", "sample_id").limit(5)
 
 
 def score_by_group(spark, sf_dir):
-    s = S.sample_scores(samples(spark, sf_dir)).withColumn("stance", F.col("golds")[0]["stance"])
+    s = S.sample_scores(samples(spark, sf_dir), measure=measure).withColumn("stance", F.col("golds")[0]["stance"])
     return s.groupBy("stance").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"))
 
 
@@ -175,7 +192,7 @@ def mmr_select(spark, sf_dir):
     return s.select("sample_id", F.array_join(F.array_sort(chosen), ",").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_matrix, gated_edges, match_weight_score, match_cardinality, sample_score, dataset_score, classify_unmatched, attribution_totals, headroom, worst_samples, score_by_group, mean_vectors, nn_canonicalise, topk_rerank, mmr_select)}
+QUERIES = {f.__name__: f for f in (cosine_matrix, gated_edges, match_weight_score, match_cardinality, sample_score, dataset_score, classify_unmatched, attribution_totals, attribution_detail, headroom, worst_samples, score_by_group, mean_vectors, nn_canonicalise, topk_rerank, mmr_select)}
 _TAILS = {
     "cosine_matrix": "SELECT sample_id, i::INT AS i, j::INT AS j, round(w, 6) AS w FROM pairs",
     "gated_edges": "SELECT sample_id, i::INT AS i, j::INT AS j, round(w, 6) AS edge FROM pairs WHERE same_stance AND w > 0.7::DOUBLE",
@@ -185,6 +202,12 @@ _TAILS = {
     "dataset_score": "SELECT round(avg(0.8::DOUBLE * s_ext + 0.2::DOUBLE * s_pred), 6) AS score, round(avg(s_ext), 6) AS s_ext, round(avg(s_pred), 6) AS s_pred, round(avg(f1_ext), 6) AS f1_ext, round(avg(alpha), 6) AS alpha, sum(n_matched)::BIGINT AS n_matched, count(*) AS n_samples FROM scored",
     "classify_unmatched": "SELECT sample_id, i::INT AS i, reason FROM lost",
     "attribution_totals": "SELECT sum(low_sim)::BIGINT AS low_sim, sum(stance_blocked)::BIGINT AS stance_blocked, sum(extra)::BIGINT AS extra, sum(pred_extra)::BIGINT AS pred_extra, sum(gold_missed)::BIGINT AS gold_missed, count(*) FILTER (pred_extra > 0) AS over_predicted FROM attributed",
+    "attribution_detail": """, m AS (
+  SELECT b.sample_id, string_agg(t.i || '-' || t.j, ',' ORDER BY t.i) AS matches, sum(round(q.w, 4)) AS weight FROM (SELECT sample_id, unnest(mine) AS i, unnest(theirs) AS j FROM best) t
+  JOIN best b USING (sample_id) JOIN pairs q ON q.sample_id = t.sample_id AND q.i = t.i AND q.j = t.j GROUP BY b.sample_id
+), l AS (SELECT sample_id, string_agg(i || ':' || reason, ',' ORDER BY i) AS lost FROM lost GROUP BY sample_id)
+SELECT b.sample_id, coalesce(m.matches, '') AS matches, round(coalesce(m.weight, 0), 4) AS weight, coalesce(l.lost, '') AS unmatched_pred,
+  array_to_string(list_filter(range(5), lambda j: NOT list_contains(theirs, j)), ',') AS unmatched_gold FROM best b LEFT JOIN m USING (sample_id) LEFT JOIN l USING (sample_id)""",
     "headroom": """, kinds AS (
   SELECT alpha, s_ext, n_matched, unnest(['low_sim', 'stance_blocked', 'gold_missed']) AS kind,
     unnest([least(low_sim, gold_missed), least(stance_blocked, gold_missed), greatest(0, gold_missed - low_sim - stance_blocked)]) AS gained FROM attributed

@@ -48,9 +48,9 @@ def test_a_sample_against_itself_scores_one(spark):
     from tessaly.operators import scoring
 
     s = scores.samples(spark, "/root/testdata/sf0.001").withColumn("preds", F.col("golds"))
-    assert all(math.isclose(r.score, 1.0) and r.n_matched == 5 for r in scoring.sample_scores(s).select("score", "n_matched").collect())
-    turned = s.withColumn("preds", F.transform("preds", lambda p, i: F.struct(F.when(i == 0, "none").otherwise(p["stance"]).alias("stance"), p["v"].alias("v"))))
-    got = scoring.attribution(scoring.sample_scores(turned)).select("n_matched", "stance_blocked", "pred_extra").collect()
+    assert all(math.isclose(r.score, 1.0) and r.n_matched == 5 for r in scoring.sample_scores(s, measure=scores.measure).select("score", "n_matched").collect())
+    turned = s.withColumn("preds", F.transform("preds", lambda p, i: F.struct(F.when(i == 0, "none").otherwise(p["stance"]).alias("stance"), p["name_v"].alias("name_v"), p["arg_v"].alias("arg_v"))))
+    got = scoring.attribution(scoring.sample_scores(turned, measure=scores.measure)).select("n_matched", "stance_blocked", "pred_extra").collect()
     assert all((r.n_matched, r.stance_blocked, r.pred_extra) == (4, 1, 1) for r in got)
 
 
@@ -61,3 +61,24 @@ def test_ties_follow_one_rule_at_every_size():
         w = [[None if rng.random() < 0.3 else rng.choice([0.0, 0.5, 0.75, 1.0]) for _ in range(m)] for _ in range(n)]
         wide = [[*r, *[None] * 13] for r in w]
         assert best_pairs(w, k % 2 == 0) == best_pairs(wide, k % 2 == 0)
+
+
+def test_texts_of_matched_records(spark):
+    """Names, chains and futures decide alpha and the share of futures; stances don't."""
+    from tessaly.operators import scoring
+
+    kind = "struct<stance:string,name_v:array<double>,arg_v:array<double>,name:string,chain:array<string>,future:string>"
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    golds = [("support", a, a, "甲", ["证据"], "甲乙"), ("oppose", b, b, "乙", ["其他"], "丙丁")]
+    preds = [("oppose", b, b, "乙", ["其他"], "丙戊"), ("support", a, a, "丁", ["证据"], "甲乙"), ("support", b, b, "x", ["y"], None)]
+    rows = spark.createDataFrame([("A", preds, golds), ("B", [], golds), ("C", [], [])], f"sample_id string, preds array<{kind}>, golds array<{kind}>")
+    got = {r.sample_id: r for r in scoring.sample_scores(rows).collect()}
+    r = got["A"]
+    assert [(m.i, m.j) for m in r.matches] == [(0, 1), (1, 0)] and r.n_matched == 2
+    # The second pair's texts differ in one of four characters.
+    assert math.isclose(r.alpha, (1 + 0.75) / 2) and math.isclose(r.f1_pred, (0.5 + 1) / 3) and math.isclose(r.s_semantic, r.f1_pred)
+    f1 = 2 * (2 / 3) / (2 / 3 + 1)
+    assert math.isclose(r.score, 0.8 * f1 * (0.7 + 0.3 * r.alpha) + 0.2 * r.f1_pred)
+    assert got["B"].score == got["C"].score == 0
+    d = {x.sample_id: x for x in scoring.detail(scoring.sample_scores(rows)).collect()}
+    assert [(x.i, x.reason) for x in d["A"].unmatched_pred] == [(2, "stance_blocked")] and d["B"].unmatched_gold == [0, 1]
