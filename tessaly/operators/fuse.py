@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rewrite import LONG_FUTURE
+
 RECORDS = "array<struct<name:string,stance:string,evidence:array<string>,future:string>>"
 
 
@@ -83,14 +85,19 @@ def evidence(members: list[tuple[int, dict]], s: Strategy) -> list[str]:
 
 
 def fused(variants: list[dict], s: Strategy) -> list[dict]:
+    """Records that win, up to the limit; those without a name or evidence are left out before it counts. A record without
+    a future gets the fallback one."""
     need = min(s.votes, len(variants))
+    before, after, most = LONG_FUTURE
     out = []
     for c in clusters(variants, s):
         who = {w for w, _ in c}
         if len(who) >= need or (s.anchored and 0 in who):
             head = c[0][1]
             name = majority([x["name"] for _, x in c]) if s.head else head["name"]
-            out.append({"name": name, "stance": majority([x["stance"] for _, x in c]), "evidence": evidence(c, s), "future": head["future"]})
+            chain = evidence(c, s)
+            if (name or "").strip() and chain:
+                out.append({"name": name, "stance": majority([x["stance"] for _, x in c]), "evidence": chain, "future": head["future"] or before + chain[0].strip()[:most] + after})
     return out[: s.records]
 
 

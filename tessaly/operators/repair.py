@@ -1,4 +1,7 @@
-"""Objects out of a model's reply: reasoning and fences are skipped, trailing commas dropped, cut ends closed."""
+"""Objects out of a model's reply: reasoning and fences are skipped, trailing commas dropped, cut ends closed.
+
+A reply that was cut goes back to its last closing quote or bracket: a string, number or word at the cut may lack its
+end, so it goes, with its key."""
 
 from __future__ import annotations
 
@@ -33,7 +36,7 @@ def extract(text: str | None) -> str | None:
                 return None
             _drop_commas(parts)
         elif t[0] == '"' and not re.fullmatch(r'"(?:[^"\\]|\\.)*"', t, re.S):
-            t = re.sub(r"\\(u[0-9a-fA-F]{0,3})?\Z", "", t) + '"'
+            break
         parts.append(t)
         if not open_:
             break
@@ -52,10 +55,10 @@ def _drop_commas(parts: list[str]) -> None:
 
 
 def _close(parts: list[str], open_: list[str]) -> None:
-    """The missing closers; a key without a value goes, as does a word cut short."""
+    """The missing closers; a word at the cut goes, and a key without a value."""
+    if parts[-1] not in PAIR and parts[-1] not in "}],:" and parts[-1][0] != '"':
+        parts.pop()
     while open_:
-        if parts[-1] not in PAIR and parts[-1] not in "}],:" and parts[-1][0] != '"' and not _whole(parts[-1]):
-            parts.pop()
         if open_[-1] == "{":
             if parts[-1] == ":":
                 del parts[-2:]
@@ -65,14 +68,6 @@ def _close(parts: list[str], open_: list[str]) -> None:
         parts.append(PAIR[open_.pop()])
 
 
-def _whole(word: str) -> bool:
-    try:
-        json.loads(word)
-    except ValueError:
-        return False
-    return True
-
-
 def extract_json(reply: Column) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

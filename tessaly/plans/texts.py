@@ -68,6 +68,12 @@ def trim_evidence(spark, sf_dir):
     return p.select("item_id", T.trim_evidence(F.col("name"), F.col("text"), ",;. ").alias("kept"))
 
 
+def trim_focus(spark, sf_dir):
+    """Passages cut to a wider run of clauses about a name."""
+    p = _passages(spark, sf_dir).withColumn("name", F.substring("text", 20, 10))
+    return p.select("item_id", T.trim_focus(F.col("name"), F.col("text"), ",;. ").alias("kept"))
+
+
 def future_pointing(spark, sf_dir):
     p = _passages(spark, sf_dir)
     return p.select("item_id", F.md5(T.future_pointing(F.concat(F.lit("x"), F.col("item_id").cast("string")), F.col("text")).cast("binary")).alias("digest"))
@@ -205,7 +211,7 @@ def resume_anti(spark, sf_dir):
     return d.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (bigram_set_cosine, mentions_name, hash_encode, clause_split, mark_clauses, regex_sentences, trim_evidence, future_pointing, stance_parse, containment_pairs, substring_ratio, doc_order, duplicate_ids, missing_extra_ids, stratified_split, oversample, fifo_join, percentile_low, token_buckets, shared_literals, majority_vote, evidence_union, best_of_n, resume_anti)}
+QUERIES = {f.__name__: f for f in (bigram_set_cosine, mentions_name, hash_encode, clause_split, mark_clauses, regex_sentences, trim_evidence, trim_focus, future_pointing, stance_parse, containment_pairs, substring_ratio, doc_order, duplicate_ids, missing_extra_ids, stratified_split, oversample, fifo_join, percentile_low, token_buckets, shared_literals, majority_vote, evidence_union, best_of_n, resume_anti)}
 
 _GRAMS = "CASE WHEN length({0}) >= 2 THEN list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) WHEN length({0}) = 1 THEN [{0}] ELSE [] END"
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
@@ -277,3 +283,4 @@ SELECT source, x[floor((len(x) - 1) * 0.5::DOUBLE)::INT + 1] AS p50, x[floor((le
     "best_of_n": "WITH s AS (SELECT doc_id, v::INT AS variant, ((n_chars * (v + 3)) % 5)::DOUBLE / 5 AS score FROM documents, range(3) t(v)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, variant) AS k FROM s WHERE score <> 0) SELECT doc_id, variant, score FROM r WHERE k = 1",
     "resume_anti": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
+ORACLES["trim_focus"] = ORACLES["trim_evidence"].replace("64", "80").replace("- 55", "- 53").replace("[ ,，;；、:：]", "[ ，。；、,;]")

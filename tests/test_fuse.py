@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tessaly.operators import fuse, protocol
 
 
-def issue(name, stance="support", evidence=(), future=""):
+def issue(name, stance="support", evidence=("某处的证据",), future=""):
     return {"name": name, "stance": stance, "evidence": list(evidence), "future": future}
 
 
@@ -21,10 +21,10 @@ def test_anchored_fusion():
 
 def test_in_rows(spark):
     kind = f"sample_id long, v array<struct<variant:int,issues:{fuse.RECORDS}>>"
-    rows = [(1, [(0, [("关税问题", "support", ["x"], "f")]), (1, [("能源合作", "oppose", None, "g")]), (2, [("能源合作", "oppose", [], "g")])]), (2, [(0, None)])]
+    rows = [(1, [(0, [("关税问题", "support", ["x"], "f")]), (1, [("能源合作", "oppose", ["y"], "")]), (2, [("能源合作", "oppose", [], "g"), ("无证据的", "oppose", None, "g")])]), (2, [(0, None)])]
     df = spark.createDataFrame(rows, kind)
     got = {r.sample_id: r for r in df.select("sample_id", fuse.fuse(F.col("v")).alias("f"), fuse.closest(F.col("v")).alias("c")).collect()}
-    assert [x.name for x in got[1].f] == ["关税问题", "能源合作"] and got[1].c == 1
+    assert [x.name for x in got[1].f] == ["关税问题", "能源合作"] and got[1].f[1].future == "后续将延续「y」所体现的现有安排。"
     assert got[2].f == [] and got[2].c == 0
 
 

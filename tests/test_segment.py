@@ -56,7 +56,11 @@ def test_json_repair():
         ('```json\n{"a": [1, 2]}\n```', {"a": [1, 2]}),
         ('{"a": [1, 2,], }', {"a": [1, 2]}),
         ('<think>{"x":1}</think> {"a": "b}{"} tail', {"a": "b}{"}),
-        ('{"a": [{"n": "x"}, {"n": "cut he', {"a": [{"n": "x"}, {"n": "cut he"}]}),
+        ('{"a": [{"n": "x"}, {"n": "cut he', {"a": [{"n": "x"}, {}]}),
+        ('{"a":"x\\u12', {}),
+        ('{"a":1', {}),
+        ('{"a":["x", "y', {"a": ["x"]}),
+        ('{"a":[1, 2', {"a": [1]}),
         ('{"a": 1, "key', {"a": 1}),
         ('{"a": 1, "key":', {"a": 1}),
         ('{"a": 1, "b": tru', {"a": 1}),
