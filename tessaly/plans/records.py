@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lcs
 from ..functions import text as T
-from ..operators import agreement, align, fuse, protocol, repair, segment
+from ..operators import agreement, align, fuse, protocol, repair, rewrite, segment
 from . import texts
 
 
@@ -75,6 +75,13 @@ def containment_stats(spark, sf_dir):
     return align.containment(_covers(spark, sf_dir))
 
 
+def reference_protocol(spark, sf_dir):
+    """Protocol lines of reference records: each held passage is an issue that cites the sentences of its evidence."""
+    cited = rewrite.aligned(_covers(spark, sf_dir).withColumn("issue_no", F.expr("evidence_no div 2")))
+    issues = cited.select("sample_id", "issue_no", F.concat(F.lit("n\n"), "issue_no").alias("name"), F.lit("support").alias("stance"), F.col("sids").alias("tokens"), F.lit("f").alias("future"))
+    return rewrite.protocol_lines(issues)
+
+
 def recover_ids(spark, sf_dir):
     """Every sentence, whole and by its part from the third character on, looked up again among its document's."""
     s = _sentences(spark, sf_dir)
@@ -167,7 +174,7 @@ def violations(lines: DataFrame) -> DataFrame:
     return r.withColumns({"broken": broken, "first": first}).select("line_no", F.explode(told).alias("rule"))
 
 
-QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, recover_ids, compile_protocol, json_repair, mbr_select, agreement_report, validate_rows)}
+QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, reference_protocol, recover_ids, compile_protocol, json_repair, mbr_select, agreement_report, validate_rows)}
 QUERIES |= {"fuse_anchored": _fused(fuse.ANCHORED), "consensus_filter": _fused(fuse.CONSENSUS), "merge_candidates": _fused(fuse.UNION)}
 ORACLES = {
     "validate_rows": """

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import flow, rewrite
+from ..operators import flow, protocol, rewrite
 from ..sources import lines
 
 
@@ -173,6 +173,35 @@ def first_lines(spark, sf_dir):
     return lines.first(t, 10)
 
 
+def resolve_tokens(spark, sf_dir):
+    """Passages as sentences, cited whole, by clauses that they have or lack, and by characters."""
+    tokens = F.array(*map(F.lit, ("S01", " S01 ", "S01.②", "S01.c1", "S01.c1-c9", "S01:3-9", "S01:9-3", "S01:0-99999")))
+    p = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text", F.posexplode(tokens).alias("k", "token"))
+    return p.select("item_id", "k", protocol.token_sid(F.col("token")).alias("sid"), F.md5(protocol.token_text(F.col("token"), F.col("text")).cast("binary")).alias("digest"))
+
+
+def party_expand(spark, sf_dir):
+    """Each turn is a document of one sentence; the main issue cites the first two, the other one the second."""
+    t = _turns(spark, sf_dir).select("conv_id", "turn", F.format_string("S%02d", F.col("turn") + 1).alias("sid"), "text")
+    s = t.select(F.col("conv_id").alias("sample_id"), F.col("turn").cast("int").alias("doc_index"), (F.col("turn") + 1).alias("sent_no"), "sid", "text")
+    ids = t.select("conv_id").distinct().withColumnRenamed("conv_id", "sample_id")
+    main = F.struct(F.lit(0).alias("issue_no"), F.lit("main").alias("name"), F.lit("support").alias("stance"), F.array(F.lit("S01"), F.lit("S02")).alias("sids"), F.array(F.lit("a"), F.lit("b")).alias("evidence"), F.lit("f").alias("future"))
+    other = F.struct(F.lit(1).alias("issue_no"), F.lit("sub").alias("name"), F.lit("oppose").alias("stance"), F.array(F.lit("S02")).alias("sids"), F.array(F.lit("b")).alias("evidence"), F.lit(" ").alias("future"))
+    issues = ids.select("sample_id", F.explode(F.array(main, other)).alias("x")).select("sample_id", "x.*")
+    got = rewrite.parties(issues, s)
+    return got.select("sample_id", F.col("place").cast("long").alias("place"), "name", "speaker", F.array_join("sids", ",").alias("sids"), F.md5(F.array_join("evidence", "|").cast("binary")).alias("digest"), "future")
+
+
+def few_shot_pick(spark, sf_dir):
+    """Three worked examples from documents: a full stop ends each sentence, three sentences are evidence."""
+    text = F.regexp_replace(F.col("text"), "[.!?]", "。")
+    parts = F.filter(F.split(text, "。"), lambda x: F.length(x) > 0)
+    stance = lambda k: F.when((F.col("doc_id") + k) % 3 == 0, "oppose").otherwise("support")
+    issues = F.array(*[F.struct(F.lit(f"n{k}").alias("name"), stance(k * (k + 1) // 2).alias("stance"), F.array(F.get(parts, k)).alias("evidence")) for k in range(3)])
+    d = _documents(spark, sf_dir).where(F.size(parts) >= 3).select(F.col("doc_id").alias("sample_no"), text.alias("full_text"), issues.alias("issues"), F.array(*map(F.lit, "abc")).alias("futures"))
+    return rewrite.few_shot(d, 3).select("sample_no", "diverse", F.md5(F.col("head").cast("binary")).alias("digest"))
+
+
 def scored_once(spark, sf_dir):
     """Distance of each document's language and source; each pair of values is scored once."""
     return rewrite.scored_once(_documents(spark, sf_dir).select("doc_id", F.col("lang").alias("a"), F.col("source").alias("b")), F.levenshtein).select("doc_id", F.col("score").cast("long").alias("score"))
@@ -186,7 +215,7 @@ def flow_replies(spark, sf_dir):
     return asked.select("sample_id", "n_issues", "attempts", "failed")
 
 
-QUERIES = {f.__name__: f for f in (lines_round_trip, strict_rows, keyed_last_wins, listed_documents, resumed_lines, filled_prompts, record_texts, record_alpha, fallback_texts, future_lines, core_records, trimmed_chains, forced_substrings, argument_modes, in_all_variants, priority_join, looked_up, distinct_samples, shared_ids, first_seen, first_lines, scored_once, flow_replies)}
+QUERIES = {f.__name__: f for f in (lines_round_trip, strict_rows, keyed_last_wins, listed_documents, resumed_lines, filled_prompts, record_texts, record_alpha, fallback_texts, future_lines, core_records, trimmed_chains, forced_substrings, argument_modes, in_all_variants, priority_join, looked_up, distinct_samples, shared_ids, first_seen, first_lines, scored_once, resolve_tokens, party_expand, few_shot_pick, flow_replies)}
 
 _CHAIN = "substr(text, 1, 30) || chr(10) || role"
 _NAME = "CASE WHEN turn % 4 = 0 THEN '' ELSE 'n' || turn END"
@@ -232,6 +261,20 @@ UNION ALL SELECT pair, 'mean', round(list_inner_product(x, y) / sqrt(list_inner_
     "shared_ids": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
     "first_seen": "SELECT role, substr(text, 1, 3) AS start, min(conv_id * 1000 + turn) // 1000 AS conv_id, min(conv_id * 1000 + turn) % 1000 AS turn FROM conversations GROUP BY 1, 2",
     "first_lines": "SELECT conv_id * 1000 + turn AS line_no, role FROM conversations ORDER BY 1 LIMIT 10",
+    "resolve_tokens": """
+WITH p AS (SELECT item_id, regexp_replace(text, '^[\\s\\v]+|[\\s\\v]+$', '', 'g') AS t FROM benchmark
+), c AS (SELECT item_id, t, regexp_replace(t, '^[，；、 ]+|[，；、 ]+$', '', 'g') AS c FROM p WHERE NOT regexp_matches(t, '[，；、]'))
+SELECT item_id, k::INT AS k, 'S01' AS sid, md5(CASE WHEN k = 3 THEN c WHEN k = 5 AND length(t) >= 9 THEN substr(t, 4, 6) ELSE t END) AS digest FROM c, range(8) r(k)""",
+    "party_expand": """
+WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+SELECT conv_id AS sample_id, k AS place, 'main' AS name, 'P' || (turn + 1) AS speaker, 'S' || lpad((turn + 1)::VARCHAR, greatest(2, length((turn + 1)::VARCHAR))::INT, '0') AS sids, md5(text) AS digest, 'f' AS future FROM t WHERE k <= 3
+UNION ALL SELECT conv_id, 4, 'sub', 'P2', 'S02', md5('b'), '后续将延续「b」所体现的现有安排。' FROM t WHERE turn = 1""",
+    "few_shot_pick": """
+WITH d AS (SELECT doc_id, regexp_replace(text, '[.!?]', '。', 'g') AS t FROM documents
+), p AS (SELECT doc_id, t, list_filter(string_split(t, '。'), lambda x: length(x) > 0) AS s, regexp_extract(substr(t, 1, 500), '(?s)^.*。', 0) AS head FROM d WHERE length(t) > 500
+), q AS (SELECT *, list_filter([1, 2, 3], lambda k: contains(head, s[k])) AS kept FROM p WHERE len(s) >= 3 AND head <> ''
+), f AS (SELECT doc_id, head, len(list_distinct(list_transform([0, 1, 3], lambda k: (doc_id + k) % 3 = 0))) AS diverse FROM q WHERE len(kept) = 3 ORDER BY doc_id LIMIT 60)
+SELECT doc_id AS sample_no, diverse::INT AS diverse, md5(head) AS digest FROM f ORDER BY diverse DESC, doc_id LIMIT 3""",
     "scored_once": "SELECT doc_id, levenshtein(lang, source) AS score FROM documents",
     "flow_replies": """
 WITH s AS (SELECT DISTINCT conv_id AS sample_id FROM conversations WHERE turn = 0
