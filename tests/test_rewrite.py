@@ -79,3 +79,11 @@ def test_flows(spark):
     records = spark.createDataFrame([("S1", 0, "农产品", ["证据"], "旧"), ("S2", 0, "甲乙", ["证据"], "")], "sample_id string, issue_no int, name string, evidence array<string>, future string")
     got = flow.futures(records, lambda p, s: F.when(s == 1, "no line").otherwise("FUTURE 新"), lambda n, e: n).orderBy("sample_id").collect()
     assert [r.future for r in got] == ["关于农产品，旧", "关于甲乙，新"]
+
+
+def test_semantic_trim(spark):
+    """The clause run closest to the name by inner product, here of counts of two words; near duplicates collapse."""
+    encode = lambda t: F.array(F.contains(t, F.lit("小麦")).cast("double"), F.contains(t, F.lit("关税")).cast("double") * -1)
+    long = "甲" * 30 + "，小麦进口将扩大，" + "关税" + "乙" * 40 + "。"
+    got = one(spark, rewrite.semantic_trim(F.lit("小麦"), F.array(F.lit(long), F.lit(long), F.lit("短句。")), encode), rewrite.semantic_trim(F.lit("n"), F.lit(None).cast("array<string>"), encode))
+    assert got[0] == ["甲" * 30 + "，小麦进口将扩大", "短句。"] and got[1] == []
