@@ -38,19 +38,26 @@ def pair_up(ids: np.ndarray, least: int = 16) -> tuple[np.ndarray, np.ndarray, n
     """Symbols, rules (two symbols each), the rules' expansion lengths, and the first nonterminal.
 
     A pair is frequent if it occurs `least` times without overlapping itself; rounds go on until none is. A rule is made
-    where a pair wins half as often over its neighbours; when no pair does, the most frequent one is replaced alone."""
+    where a pair wins half as often over its neighbours; when no pair does, the most frequent one is replaced alone.
+    A pair of symbols never gains occurrences, so each round looks only at pairs that were frequent or are new, and at
+    pairs of one symbol, whose runs are counted whole."""
     base = int(ids.max()) + 1 if len(ids) else 0
-    seq, rules, sizes, top = ids.astype(np.uint64), [], np.ones(base, np.int64), base
+    seq, rules, sizes, top = ids.astype(np.uint32), [], np.ones(base, np.int64), base
+    live = np.ones(len(seq), bool)
     while len(seq) > 1:
         n = len(seq)
-        code = seq[:-1] << np.uint64(32) | seq[1:]
-        cell = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
-        maybe = np.flatnonzero((np.bincount(cell.view(np.int64), minlength=1 << 18) >= least)[cell])
-        again = np.flatnonzero(code[1:] == code[:-1]) + 1
+        at = np.flatnonzero(live[:-1])
+        first, second = seq[at], seq[at + 1]
+        code = first.astype(np.uint64) << np.uint64(32) | second
+        bits = min(max(len(at).bit_length() - 1, 8), 18)
+        cell = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+        maybe = np.flatnonzero((np.bincount(cell, minlength=1 << bits) >= least)[cell])
+        twins = np.flatnonzero(first == second)
+        again = twins[1:][(np.diff(at[twins]) == 1)] if len(twins) else twins
         if len(again):  # in a run of one pair every other occurrence counts
-            head = np.flatnonzero(np.append(True, np.diff(again) != 1))
-            odd = (again - np.repeat(again[head] - 1, np.diff(np.append(head, len(again))))) % 2 == 1
-            alone = np.ones(n - 1, bool)
+            head = np.flatnonzero(np.append(True, np.diff(at[again]) != 1))
+            odd = (at[again] - np.repeat(at[again[head]] - 1, np.diff(np.append(head, len(again))))) % 2 == 1
+            alone = np.ones(len(at), bool)
             alone[again[odd]] = False
             maybe = maybe[alone[maybe]]
         found = code[maybe]
@@ -64,27 +71,30 @@ def pair_up(ids: np.ndarray, least: int = 16) -> tuple[np.ndarray, np.ndarray, n
         often = often[np.argsort(counts[often], kind="stable")]  # a pair's number is its rank
         rank = np.full(len(counts), -1, np.int32)
         rank[often] = np.arange(len(often))
+        own = np.repeat(rank, counts)
+        some = own >= 0
+        place, own = at[maybe[by[some]]], own[some]
         weight = np.full(n + 1, -1, np.int32)  # of the pair that starts at each place, with a border
-        weight[1 + maybe[by]] = np.repeat(rank, counts)
-        live = np.flatnonzero(weight[1:-1] >= 0)
-        own = weight[1 + live]
-        won = (own >= weight[live]) & (own >= weight[live + 2])
-        wins, number = live[won], own[won]
+        weight[1 + place] = own
+        won = (own >= weight[place]) & (own >= weight[place + 2])
+        wins, number = place[won], own[won]
         enough = 2 * np.bincount(number, minlength=len(often)) >= least
         if not enough.any():
             enough[-1] = True
-            wins, number = live, own
+            wins, number = place, own
         some = enough[number]
         wins, number = wins[some], (np.cumsum(enough) - 1)[number[some]]
         made = found[fresh[often[enough]]]
         left, right = (made >> np.uint64(32)).astype(np.int64), (made & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rules.append(np.stack([left, right], 1))
         sizes = np.append(sizes, sizes[left] + sizes[right])
-        seq[wins] = (top + number).astype(np.uint64)
+        seq[wins] = (top + number).astype(np.uint32)
         top += len(made)
+        live[:] = False
+        live[place] = live[at[twins]] = live[wins] = live[np.maximum(wins, 1) - 1] = True
         keep = np.ones(n, bool)
         keep[wins + 1] = False
-        seq = seq[keep]
+        seq, live = seq[keep], live[keep]
     flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return seq, flat, sizes[base:], base
 
