@@ -92,7 +92,23 @@ def sentences(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """sample_id, doc_index, sent_no, sid, start, end, text (stripped) from sample_id, doc_index and full_text.
 
     Numbers run over all documents of a sample in order of doc_index."""
-    spans = docs.select("sample_id", "doc_index", "full_text", F.posexplode(sentence_spans(F.col("full_text"), profile)).alias("pos", "s"))
+    return _numbered(docs.select("sample_id", "doc_index", "full_text", sentence_spans(F.col("full_text"), profile).alias("spans")))
+
+
+def sentences_by_profile(docs: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
+    """Sentences under each of several named profiles, every text read once; sample_id is a struct (profile, sample_id)."""
+
+    @F.pandas_udf(f"array<struct<profile:string,spans:{SPANS}>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: [{"profile": name, "spans": [{"start": a, "end": b} for a, b in p.sentences(t or "")]} for name, p in profiles.items()])
+
+    each = docs.select("sample_id", "doc_index", "full_text", F.explode(run("full_text")).alias("p"))
+    return _numbered(each.select(F.struct(F.col("p.profile").alias("profile"), "sample_id").alias("sample_id"), "doc_index", "full_text", F.col("p.spans").alias("spans")))
+
+
+def _numbered(spans: DataFrame) -> DataFrame:
+    spans = spans.select("sample_id", "doc_index", "full_text", F.explode("spans").alias("s"))
     raw = F.substring("full_text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     left = F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
     text = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")

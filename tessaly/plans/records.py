@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lcs
 from ..functions import text as T
-from ..operators import agreement, align, fuse, protocol, repair, rewrite, segment
+from ..operators import agreement, align, fuse, protocol, repair, rewrite, segment, training
 from . import texts
 
 
@@ -82,6 +82,40 @@ def reference_protocol(spark, sf_dir):
     return rewrite.protocol_lines(issues)
 
 
+def _cited(spark, sf_dir):
+    """Sentences, documents and evidence by issue, of the documents that hold passages."""
+    evidence = _evidence(spark, sf_dir).withColumn("issue_no", F.expr("evidence_no div 2"))
+    docs = _samples(spark, sf_dir).join(evidence.select("sample_id").distinct(), "sample_id", "left_semi")
+    return segment.sentences(docs, segment.LATIN), docs, evidence
+
+
+def clause_protocol(spark, sf_dir):
+    """Protocol lines that cite clauses: each held passage is an issue of two pieces of evidence."""
+    tokens = align.clause_tokens(*_cited(spark, sf_dir), marks=T.LATIN_MARKS)
+    issues = tokens.select("sample_id", "issue_no", F.concat(F.lit("n\n"), "issue_no").alias("name"), F.lit("support").alias("stance"), "tokens", F.lit("f").alias("future"))
+    return rewrite.protocol_lines(issues)
+
+
+def segment_sweep(spark, sf_dir):
+    """Sentences and containment of evidence under profiles of other lengths."""
+    profiles = {"baseline": {}, "shortest_24": {"shortest": 24}, "shortest_48": {"shortest": 48}, "joined_200": {"joined": 200}, "long_140": {"long": 140}, "cap_256": {"cap": 256}}
+    marks = {"primary": ".!?\n", "secondary": ";", "tertiary": ","}
+    _, docs, evidence = _cited(spark, sf_dir)
+    return align.sweep(docs, evidence, {name: segment.Profile(**marks, **more) for name, more in profiles.items()})
+
+
+def training_rows(spark, sf_dir):
+    """Extraction and future rows from held passages; issues with an even id oppose, and their documents are boosted."""
+    s, docs, evidence = _cited(spark, sf_dir)
+    tokens = align.clause_tokens(s, docs, evidence, marks=T.LATIN_MARKS)
+    stance = F.when(F.col("issue_no") % 2 == 0, "oppose").otherwise("support")
+    issues = evidence.select("sample_id", "issue_no").distinct().select("*", F.concat(F.lit("n"), F.col("issue_no") % 3).alias("name"), stance.alias("stance"), F.concat(F.lit("f"), "issue_no").alias("future"))
+    line = F.concat(F.lit("["), "sid", F.lit("] "), T.mark_clauses(F.col("text"), 60, T.LATIN_MARKS))
+    bodies = s.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("sent_no", line.alias("line")))).alias("x")).select("sample_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("body"))
+    out = training.rows(issues, tokens, s, bodies, ("extract", "Name the issues."), ("future", "Say what follows."), repeat=2, boost=2)
+    return out.select("task", "sample_id", "issue_no", "copy", "chars", F.md5(F.element_at("messages", -1)["content"].cast("binary")).alias("digest"))
+
+
 def recover_ids(spark, sf_dir):
     """Every sentence, whole and by its part from the third character on, looked up again among its document's."""
     s = _sentences(spark, sf_dir)
@@ -174,7 +208,7 @@ def violations(lines: DataFrame) -> DataFrame:
     return r.withColumns({"broken": broken, "first": first}).select("line_no", F.explode(told).alias("rule"))
 
 
-QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, reference_protocol, recover_ids, compile_protocol, json_repair, mbr_select, agreement_report, validate_rows)}
+QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, reference_protocol, clause_protocol, segment_sweep, training_rows, recover_ids, compile_protocol, json_repair, mbr_select, agreement_report, validate_rows)}
 QUERIES |= {"fuse_anchored": _fused(fuse.ANCHORED), "consensus_filter": _fused(fuse.CONSENSUS), "merge_candidates": _fused(fuse.UNION)}
 ORACLES = {
     "validate_rows": """

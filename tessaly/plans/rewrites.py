@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import flow, protocol, rewrite
+from ..functions import encoders
+from ..operators import flow, protocol, rewrite, training
 from ..sources import lines
 
 
@@ -215,11 +216,37 @@ def flow_replies(spark, sf_dir):
     return asked.select("sample_id", "n_issues", "attempts", "failed")
 
 
-QUERIES = {f.__name__: f for f in (lines_round_trip, strict_rows, keyed_last_wins, listed_documents, resumed_lines, filled_prompts, record_texts, record_alpha, fallback_texts, future_lines, core_records, trimmed_chains, forced_substrings, argument_modes, in_all_variants, priority_join, looked_up, distinct_samples, shared_ids, first_seen, first_lines, scored_once, resolve_tokens, party_expand, few_shot_pick, flow_replies)}
+def _code_points():
+    return lambda text: [ord(c) for c in text]
+
+
+def masked_batches(spark, sf_dir):
+    """Turns as rows of code points whose prompt is masked, padded within their conversation; long ones are left out."""
+    prompt = F.concat("role", F.lit(":"))
+    t = _turns(spark, sf_dir).select("conv_id", "turn", training.masked(prompt, F.col("text"), _code_points, "<end>", 400).alias("x"))
+    rows = training.padded(t.select("conv_id", "turn", "x.*").where("input_ids is not null"), 0, "conv_id")
+    count = lambda c, v: F.size(F.filter(c, lambda x: x == v)).alias(f"{c}_{abs(v)}")
+    return rows.select("conv_id", "turn", F.size("input_ids").alias("width"), F.size("labels").alias("n_labels"), count("labels", -100), count("attention_mask", 1))
+
+
+def orthogonal_cosine(spark, sf_dir):
+    """Each turn's role against that of the turn before, as vectors of which no two texts share an axis."""
+    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return _turns(spark, sf_dir).withColumn("other", before).where("other is not null").select("conv_id", "turn", encoders.orthogonal(F.col("role"), F.col("other")).alias("cosine"))
+
+
+QUERIES = {f.__name__: f for f in (masked_batches, orthogonal_cosine, lines_round_trip, strict_rows, keyed_last_wins, listed_documents, resumed_lines, filled_prompts, record_texts, record_alpha, fallback_texts, future_lines, core_records, trimmed_chains, forced_substrings, argument_modes, in_all_variants, priority_join, looked_up, distinct_samples, shared_ids, first_seen, first_lines, scored_once, resolve_tokens, party_expand, few_shot_pick, flow_replies)}
 
 _CHAIN = "substr(text, 1, 30) || chr(10) || role"
 _NAME = "CASE WHEN turn % 4 = 0 THEN '' ELSE 'n' || turn END"
 ORACLES = {
+    "masked_batches": """
+WITH t AS (SELECT conv_id, turn, length(role) + 1 AS head, length(role) + 1 + length(text) + 6 AS n FROM conversations WHERE regexp_matches(text, '\\S')
+), k AS (SELECT *, max(n) OVER (PARTITION BY conv_id) AS width FROM t WHERE n <= 400)
+SELECT conv_id, turn, width::INT AS width, width::INT AS n_labels, (head + width - n)::INT AS labels_100, n::INT AS attention_mask_1 FROM k""",
+    "orthogonal_cosine": """
+WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations)
+SELECT conv_id, turn, (role = other)::INT::DOUBLE AS cosine FROM t WHERE other IS NOT NULL""",
     "lines_round_trip": "SELECT conv_id, turn, role, md5(text) AS digest, true AS no_value, true AS whole FROM conversations",
     "strict_rows": "SELECT doc_id::VARCHAR AS sample_id, quality::BIGINT AS quality FROM labels",
     "keyed_last_wins": "SELECT (conv_id % 50)::VARCHAR AS sample_id, min(conv_id * 1000 + turn) AS place, arg_max(md5(text), conv_id * 1000 + turn) AS digest FROM conversations GROUP BY 1",
