@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lcs
 from ..functions import text as T
-from ..operators import agreement, align, fuse, protocol, repair, rewrite, segment, training
+from ..operators import agreement, align, fuse, protocol, repair, rewrite, segment, training, validate
 from . import texts
 
 
@@ -177,12 +177,27 @@ def agreement_report(spark, sf_dir):
     return r.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes])
 
 
-def validate_rows(spark, sf_dir):
-    """Rules that raw lines of records break: bad JSON, keys, stances, blank names, evidence, lengths, repeated ids."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_no and line of a record for each label, with faults that its id gives."""
     d = spark.read.parquet(f"{sf_dir}/labels.parquet")
     k = F.col("doc_id")
     line = F.concat(F.lit('{"sample_id":"'), (k - F.when(k % 17 == 0, 1).otherwise(0)).cast("string"), F.lit('","issue_list":[{"issue_name":"'), F.when(k % 5 == 0, " ").otherwise("n"), F.lit('","stance":"'), F.when(k % 7 == 0, "maybe").otherwise("support"), F.lit('","argument_chain":['), F.when(k % 11 == 0, "").otherwise('"e"'), F.lit("]}]"), F.when(k % 13 == 0, ',"more":1').otherwise(""), F.lit(',"future_argument":['), F.when(k % 3 == 0, "").otherwise('"f"'), F.lit("]"), F.when(k % 19 == 0, "").otherwise("}"))
-    return violations(d.select(k.alias("line_no"), line.alias("line")))
+    return d.select(k.alias("line_no"), line.alias("line"))
+
+
+def validate_rows(spark, sf_dir):
+    """Rules that raw lines of records break: bad JSON, keys, stances, blank names, evidence, lengths, repeated ids."""
+    return violations(_lines(spark, sf_dir))
+
+
+def validate_file(spark, sf_dir):
+    """All rules of a file of result lines, against expected ids and source texts."""
+    k = F.col("doc_id")
+    d = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = d.select(k.cast("string").alias("sample_id"), F.when(k % 2 == 0, "text").otherwise("-").alias("text"))
+    expected = d.where(k % 23 > 0).select(k.cast("string").alias("sample_id")).union(spark.range(1).select(F.lit("absent")))
+    out = validate.violations(_lines(spark, sf_dir), expected, docs)
+    return out.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("line_no", "sample_id", "place", "rule")])
 
 
 def violations(lines: DataFrame) -> DataFrame:
@@ -208,9 +223,28 @@ def violations(lines: DataFrame) -> DataFrame:
     return r.withColumns({"broken": broken, "first": first}).select("line_no", F.explode(told).alias("rule"))
 
 
-QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, reference_protocol, clause_protocol, segment_sweep, training_rows, recover_ids, compile_protocol, json_repair, mbr_select, agreement_report, validate_rows)}
+QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, reference_protocol, clause_protocol, segment_sweep, training_rows, recover_ids, compile_protocol, json_repair, mbr_select, agreement_report, validate_rows, validate_file)}
 QUERIES |= {"fuse_anchored": _fused(fuse.ANCHORED), "consensus_filter": _fused(fuse.CONSENSUS), "merge_candidates": _fused(fuse.UNION)}
 ORACLES = {
+    "validate_file": """
+WITH l AS (SELECT doc_id AS k, doc_id - CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS id FROM labels
+), r AS (SELECT k, id, k % 19 = 0 AS bad FROM l
+), seen AS (SELECT id::VARCHAR AS id, count(*) AS n FROM r WHERE NOT bad GROUP BY 1
+), want AS (SELECT doc_id::VARCHAR AS id FROM labels WHERE doc_id % 23 > 0 UNION SELECT 'absent'
+), t AS (
+  SELECT k, id, '' AS place, 'invalid_json' AS rule FROM r WHERE bad
+  UNION ALL SELECT k, id, '', 'extra_keys' FROM r WHERE k % 13 = 0
+  UNION ALL SELECT k, id, '', 'lengths_differ' FROM r WHERE k % 3 = 0
+  UNION ALL SELECT k, id, 'issue 0', 'bad_stance' FROM r WHERE k % 7 = 0
+  UNION ALL SELECT k, id, 'issue 0', 'blank_name' FROM r WHERE k % 5 = 0
+  UNION ALL SELECT k, id, 'issue 0', 'empty_chain' FROM r WHERE k % 11 = 0
+  UNION ALL SELECT k, id, 'issue 0 evidence 0', 'not_in_source' FROM r WHERE k % 11 > 0 AND id % 2 > 0 AND id IN (SELECT doc_id FROM labels)
+)
+SELECT k::VARCHAR AS line_no, CASE WHEN rule = 'invalid_json' THEN '' ELSE id::VARCHAR END AS sample_id, place, rule FROM t
+WHERE rule = 'invalid_json' OR k % 19 > 0
+UNION ALL SELECT '', id, '', 'duplicate_id' FROM seen WHERE n > 1
+UNION ALL SELECT '', id, '', 'unexpected_id' FROM seen WHERE id NOT IN (SELECT id FROM want)
+UNION ALL SELECT '', id, '', 'missing_id' FROM want WHERE id NOT IN (SELECT id FROM seen)""",
     "validate_rows": """
 WITH l AS (SELECT doc_id AS k, doc_id - CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS id FROM labels
 ), r AS (SELECT k, k % 19 = 0 AS bad, row_number() OVER (PARTITION BY id ORDER BY k) > 1 AS again FROM l)

@@ -216,6 +216,17 @@ def flow_replies(spark, sf_dir):
     return asked.select("sample_id", "n_issues", "attempts", "failed")
 
 
+def normalised_records(spark, sf_dir):
+    """Records of passages whose evidence is verbatim, or has a foreign start that goes; records without a name go."""
+    text = F.col("text")
+    issue = lambda name, stance, *evidence: F.struct(name.alias("name"), F.lit(stance).alias("stance"), F.array(*evidence).alias("evidence"))
+    head, off = F.substring("text", 1, 60), F.concat(F.lit("####"), F.substring("text", 11, 30))
+    issues = F.array(issue(F.lit(" "), "support", head), issue(F.substring("text", 20, 10), "支持", head, off), issue(F.lit("n"), "unsure", head), issue(F.lit("m"), "OPPOSE", F.lit("!!!!!!!!!!!!"), head))
+    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("sample_id"), issues.alias("issues"), F.array(F.lit("f"), F.lit(" ")).alias("futures"), F.array(F.lit("-"), text).alias("texts"))
+    rows = rewrite.normalised(d).select("sample_id", F.posexplode("issues").alias("place", "r"))
+    return rows.select(F.col("sample_id").alias("item_id"), "place", "r.name", "r.stance", F.md5(F.array_join("r.evidence", "|").cast("binary")).alias("digest"), "r.future")
+
+
 def _code_points():
     return lambda text: [ord(c) for c in text]
 
@@ -235,11 +246,15 @@ def orthogonal_cosine(spark, sf_dir):
     return _turns(spark, sf_dir).withColumn("other", before).where("other is not null").select("conv_id", "turn", encoders.orthogonal(F.col("role"), F.col("other")).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (masked_batches, orthogonal_cosine, lines_round_trip, strict_rows, keyed_last_wins, listed_documents, resumed_lines, filled_prompts, record_texts, record_alpha, fallback_texts, future_lines, core_records, trimmed_chains, forced_substrings, argument_modes, in_all_variants, priority_join, looked_up, distinct_samples, shared_ids, first_seen, first_lines, scored_once, resolve_tokens, party_expand, few_shot_pick, flow_replies)}
+QUERIES = {f.__name__: f for f in (normalised_records, masked_batches, orthogonal_cosine, lines_round_trip, strict_rows, keyed_last_wins, listed_documents, resumed_lines, filled_prompts, record_texts, record_alpha, fallback_texts, future_lines, core_records, trimmed_chains, forced_substrings, argument_modes, in_all_variants, priority_join, looked_up, distinct_samples, shared_ids, first_seen, first_lines, scored_once, resolve_tokens, party_expand, few_shot_pick, flow_replies)}
 
 _CHAIN = "substr(text, 1, 30) || chr(10) || role"
 _NAME = "CASE WHEN turn % 4 = 0 THEN '' ELSE 'n' || turn END"
 ORACLES = {
+    "normalised_records": """
+WITH p AS (SELECT item_id, regexp_replace(substr(text, 1, 60), '^[\\s\\v]+|[\\s\\v]+$', '', 'g') AS head, regexp_replace(substr(text, 11, 30), '[\\s\\v]+$', '') AS off, regexp_replace(substr(text, 20, 10), '^[\\s\\v]+|[\\s\\v]+$', '', 'g') AS name FROM benchmark)
+SELECT item_id, 0::INT AS place, name, 'support' AS stance, md5(head || '|' || off) AS digest, '关于' || name || '，f' AS future FROM p
+UNION ALL SELECT item_id, 1, 'm', 'oppose', md5(head), CASE WHEN contains(substr(head, 1, 24), 'm') THEN '' ELSE '关于m，' END || '接下来双方将围绕「' || substr(head, 1, 24) || '」进一步落实相关安排。' FROM p""",
     "masked_batches": """
 WITH t AS (SELECT conv_id, turn, length(role) + 1 AS head, length(role) + 1 + length(text) + 6 AS n FROM conversations WHERE regexp_matches(text, '\\S')
 ), k AS (SELECT *, max(n) OVER (PARTITION BY conv_id) AS width FROM t WHERE n <= 400)
