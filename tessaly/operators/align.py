@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,15 @@ def containment(covered: DataFrame) -> DataFrame:
     return covered.agg(F.count("*").alias("n"), share(n == 1).alias("in_one"), share((n >= 1) & (n <= 2)).alias("in_one_or_two"))
 
 
+def trimmed(covered: DataFrame, sentences: DataFrame, evidence: DataFrame, trim: Callable[[Column, Column], Column] = T.trim_evidence) -> DataFrame:
+    """sample_id, evidence_no, gold and got: each piece of evidence and the trimmed texts, end to end, of the sentences
+    that hold it; pieces that none holds are left out. evidence: sample_id, evidence_no, name, evidence."""
+    each = covered.select("sample_id", "evidence_no", F.posexplode("sids").alias("p", "sid")).join(sentences.select("sample_id", "sid", "text"), ["sample_id", "sid"])
+    cut = each.join(evidence.select("sample_id", "evidence_no", "name"), ["sample_id", "evidence_no"]).withColumn("cut", trim(F.col("name"), F.col("text")))
+    got = cut.groupBy("sample_id", "evidence_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "cut"))), lambda x: x["cut"]), "").alias("got"))
+    return got.join(evidence.select("sample_id", "evidence_no", F.col("evidence").alias("gold")), ["sample_id", "evidence_no"]).select("sample_id", "evidence_no", "gold", "got")
+
+
 def recovered(sentences: DataFrame, texts: DataFrame) -> DataFrame:
     """sample_id, text_no, sid for rows sample_id, text_no, text: the first equal sentence, else the first that holds it."""
     s = sentences.select("sample_id", "sent_no", "sid", F.col("text").alias("sentence"))

@@ -89,6 +89,14 @@ def _cited(spark, sf_dir):
     return segment.sentences(docs, segment.LATIN), docs, evidence
 
 
+def trimmed_coverage(spark, sf_dir):
+    """How much of each piece of evidence is left when its sentences are cut to the clauses about a name."""
+    s, docs, evidence = _cited(spark, sf_dir)
+    cut = lambda name, text: T.trim_evidence(name, text, ",;. ")
+    held = align.covers(s, docs, evidence, hosted=True)
+    return rewrite.coverage(align.trimmed(held, s, evidence.withColumn("name", F.substring("evidence", 5, 10)), cut))
+
+
 def clause_protocol(spark, sf_dir):
     """Protocol lines that cite clauses: each held passage is an issue of two pieces of evidence."""
     tokens = align.clause_tokens(*_cited(spark, sf_dir), marks=T.LATIN_MARKS)
@@ -223,7 +231,7 @@ def violations(lines: DataFrame) -> DataFrame:
     return r.withColumns({"broken": broken, "first": first}).select("line_no", F.explode(told).alias("rule"))
 
 
-QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, reference_protocol, clause_protocol, segment_sweep, training_rows, recover_ids, compile_protocol, json_repair, mbr_select, agreement_report, validate_rows, validate_file)}
+QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, reference_protocol, trimmed_coverage, clause_protocol, segment_sweep, training_rows, recover_ids, compile_protocol, json_repair, mbr_select, agreement_report, validate_rows, validate_file)}
 QUERIES |= {"fuse_anchored": _fused(fuse.ANCHORED), "consensus_filter": _fused(fuse.CONSENSUS), "merge_candidates": _fused(fuse.UNION)}
 ORACLES = {
     "validate_file": """

@@ -1,8 +1,9 @@
+import difflib
 import random
 
 from pyspark.sql import functions as F
 from tessaly.functions import text as T
-from tessaly.operators import align, segment
+from tessaly.operators import align, rewrite, segment
 
 
 def brute(sents, text, evidence):
@@ -125,3 +126,24 @@ def test_clause_tokens_and_sweep(spark):
         x = swept[name]
         assert (x.sentences, x.most, x.p95, x.mean) == (len(sizes), sizes[-1], sizes[int(len(sizes) * 0.95)], round(sum(sizes) / len(sizes), 6))
         assert (x.n, x.in_one, x.in_one_or_two) == (c.n, c.in_one, c.in_one_or_two)
+
+
+def test_what_trimming_keeps(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("甲乙丙丁戊己") * rng.randint(1, 3) + rng.choice("，，，、；。") for _ in range(160))
+    evidence = [(0, k, text[k * 5 : k * 5 + 3], text[a : a + size]) for k, (a, size) in enumerate([(5, 20), (60, 90), (150, 30), (200, 8)])] + [(0, 9, "甲", "nowhere")]
+    d = spark.createDataFrame([(0, 0, text)], "sample_id long, doc_index int, full_text string")
+    e = spark.createDataFrame(evidence, "sample_id long, evidence_no int, name string, evidence string")
+    s = segment.sentences(d)
+    held = align.covers(s, d, e, hosted=True)
+    got = {r.evidence_no: r for r in align.trimmed(held, s, e).collect()}
+    cited = {r.evidence_no: r.sids for r in held.collect()}
+    names = {k: n for _, k, n, _ in evidence}
+    cuts = {(r.sid, k): r[f"c{k}"] for r in s.select("sid", *[T.trim_evidence(F.lit(n), F.col("text")).alias(f"c{k}") for k, n in names.items()]).collect() for k in names}
+    assert sorted(got) == sorted(k for k, x in cited.items() if x) and 9 not in got
+    shares = []
+    for k, r in got.items():
+        assert r.got == "".join(cuts[sid, k] for sid in cited[k]) and r.gold == evidence[k][3]
+        shares.append(sum(m.size for m in difflib.SequenceMatcher(None, r.gold, r.got, autojunk=False).get_matching_blocks()) / len(r.gold))
+    total = rewrite.coverage(align.trimmed(held, s, e)).first()
+    assert (total.n, total.recall, total.fully_kept) == (len(shares), round(sum(shares) / len(shares), 6), round(sum(x >= 0.9 for x in shares) / len(shares), 6))
