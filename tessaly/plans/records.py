@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lcs
@@ -208,15 +208,25 @@ def validate_file(spark, sf_dir):
     return out.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("line_no", "sample_id", "place", "rule")])
 
 
+def _named(line: Column) -> Column:
+    """The id that a line names which can't be parsed: that of the first whole value of a top key sample_id; else null."""
+    value = r'(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s"{}\[\],]++(?=\s*[,}]))'
+    parts = F.regexp_extract_all(line, F.lit(r'(?s)\G.*?"sample_id"\s*+:\s*+' + value), F.lit(0))
+    ids = F.transform(parts, lambda _, k: F.from_json(F.concat(F.array_join(F.slice(parts, 1, k + 1), ""), F.lit("}")), "map<string,string>")["sample_id"])
+    return F.get(F.filter(ids, lambda x: x.isNotNull()), 0)
+
+
 def violations(lines: DataFrame) -> DataFrame:
-    """line_no and rule for every rule that a line breaks."""
+    """line_no and rule for every rule that a line breaks. An id that a line of bad JSON names counts as used."""
     issue = "array<struct<issue_name:string,stance:string,argument_chain:array<string>>>"
     r = lines.withColumns({"m": F.from_json("line", "map<string,string>"), "r": F.from_json("line", f"struct<sample_id:string,issue_list:{issue},future_argument:array<string>>", {"mode": "PERMISSIVE"})})
     known = F.array(*map(F.lit, ("sample_id", "issue_list", "future_argument")))
     keys, each = F.map_keys("m"), F.col("r.issue_list")
     blank = lambda x: F.length(T.ustrip(F.coalesce(x, F.lit("")))) == 0
-    first = F.row_number().over(Window.partitionBy(F.col("r.sample_id")).orderBy("line_no"))
     broken = F.col("m").isNull() | ~F.endswith(T.ustrip(F.col("line")), F.lit("}"))
+    r = r.withColumn("broken", broken).withColumn("id", F.when(F.col("broken"), _named(F.col("line"))).otherwise(F.col("r.sample_id")))
+    # Lines without an id repeat none, and their numbers deal them out.
+    first = F.row_number().over(Window.partitionBy("id", F.when(F.col("id").isNull(), F.col("line_no"))).orderBy("line_no"))
     rules = {
         "extra_keys": F.size(F.array_except(keys, known)) > 0,
         "missing_keys": F.size(F.array_except(known, keys)) > 0,
@@ -225,10 +235,10 @@ def violations(lines: DataFrame) -> DataFrame:
         "bad_stance": F.exists(each, lambda x: ~F.coalesce(x["stance"].isin("support", "oppose", "neutral"), F.lit(False))),
         "blank_name": F.exists(each, lambda x: blank(x["issue_name"])),
         "empty_chain": F.exists(each, lambda x: F.coalesce(F.size(x["argument_chain"]), F.lit(0)) <= 0),
-        "duplicate_id": F.col("first") > 1,
+        "duplicate_id": F.col("id").isNotNull() & (F.col("first") > 1),
     }
     told = F.filter(F.array(*[F.when(~F.col("broken") & F.coalesce(c, F.lit(False)), n) for n, c in rules.items()], F.when(F.col("broken"), "bad_json")), lambda x: x.isNotNull())
-    return r.withColumns({"broken": broken, "first": first}).select("line_no", F.explode(told).alias("rule"))
+    return r.withColumn("first", first).select("line_no", F.explode(told).alias("rule"))
 
 
 QUERIES = {f.__name__: f for f in (segment_documents, length_stats, neighbourhood, prompt_body, rouge_l, minimal_cover, containment_stats, reference_protocol, trimmed_coverage, clause_protocol, segment_sweep, training_rows, recover_ids, compile_protocol, json_repair, mbr_select, agreement_report, validate_rows, validate_file)}

@@ -1,6 +1,7 @@
 import json
 
 from tessaly.operators import validate
+from tessaly.plans import records
 
 
 def line(sample="a", issues=None, futures=None, **more):
@@ -37,3 +38,18 @@ def test_every_rule(spark, tmp_path):
     assert [x.rpartition("/")[2] for x in validate.marked_files(spark, str(tmp_path))] == ["a.jsonl"]
     read = spark.read.text(str(tmp_path / "b.jsonl")).selectExpr("monotonically_increasing_id() AS line_no", "value AS line")
     assert [r.rule for r in validate.violations(read).collect()] == ["not_utf8"]
+
+
+def test_ids_of_broken_lines(spark, tmp_path):
+    """A line that breaks off names its id all the same; an id cut short, or a key of an inner object, names none."""
+    rows = [
+        line("a")[:-1], line("a"), line("b")[:-1], line("b")[:-1], '{"sample_id":"c', line("c"), line("a"),
+        '{"issue_list":[{"sample_id":"d"}],"sample_id" : "e\\"", "x', line("d"), line('e"'), '{"sample_id":7,', line("7"), '{"sample_id":70', line("70"),
+        '{"issue_list":[]}', '{"issue_list":[]}', line("f") + " x", line("f"), "", None, '"sample_id":"g"', line("g"), '{"text":"\\"sample_id\\":\\"h\\"", "sample_id":"i", z', line("h"), line("i"),
+    ]
+    got = records.violations(spark.createDataFrame(list(enumerate(rows, 1)), "line_no long, line string")).collect()
+    assert sorted(r.line_no for r in got if r.rule == "duplicate_id") == [2, 7, 10, 12, 18, 25]
+    assert sorted(r.line_no for r in got if r.rule == "bad_json") == [1, 3, 4, 5, 8, 11, 13, 17, 19, 20, 21, 23]
+    spark.range(790, 810).selectExpr("id AS doc_id", "1 AS quality").write.parquet(str(tmp_path / "labels.parquet"))
+    told = {(r.line_no, r.rule) for r in records.validate_rows(spark, str(tmp_path)).collect()}
+    assert {x for x in told if x[0] in (798, 799)} == {(798, "bad_json"), (799, "duplicate_id")}
