@@ -18,6 +18,11 @@ def ustrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def strip_spaces(c: Column) -> Column:
+    """Without space characters at the ends, as SQL's trim: tabs and line ends stay."""
+    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 

@@ -6,7 +6,7 @@ Cases: a null chain is an empty one; null names and futures are empty texts."""
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -144,9 +144,10 @@ def longest_block(a: str, b: str) -> tuple[int, int]:
     return m.b, m.size
 
 
-def forced(evidence: str | None, text: str | None, least: int = 6, most: int = 220) -> str:
-    """The evidence if the text has it, else the longest run they share if that is ten characters and half of it."""
-    e, t = (evidence or "").strip()[:], text or ""
+def forced(evidence: str | None, text: str | None, least: int = 6, most: int = 220, edge: str | None = None) -> str:
+    """The evidence if the text has it, else the longest run they share if that is ten characters and half of it. edge:
+    the characters that go at both ends, white space by default."""
+    e, t = (evidence or "").strip(edge), text or ""
     if len(e) < least:
         return ""
     e = e[:most]
@@ -156,13 +157,16 @@ def forced(evidence: str | None, text: str | None, least: int = 6, most: int = 2
     return t[at : at + size] if size >= max(10, len(e) // 2) else ""
 
 
-def force_substring(evidence: Column, text: Column) -> Column:
+def force_substring(evidence: Column, text: Column, strip: Callable[[Column], Column] = T.ustrip) -> Column:
+    """Like forced; strip takes away what doesn't count at the evidence's ends."""
+
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for e, t in batches:
-            yield pd.Series([forced(x, y) for x, y in zip(e, t, strict=True)])
+            # Stripped before, and what the cut left at the end stays.
+            yield pd.Series([forced(x, y, edge="") for x, y in zip(e, t, strict=True)])
 
-    e = F.substring(T.ustrip(F.coalesce(evidence, F.lit(""))), 1, 220)
+    e = F.substring(strip(F.coalesce(evidence, F.lit(""))), 1, 220)
     # What the text has verbatim, or is too short, reaches no UDF.
     plain = (F.length(e) < 6) | F.contains(text, e)
     other = run(F.when(plain, "").otherwise(e), F.when(plain, "").otherwise(text))

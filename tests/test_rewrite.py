@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
+from tessaly.functions import text as T
 from tessaly.operators import flow, rewrite
+from tessaly.plans import rewrites
 
 
 def one(spark, *cols):
@@ -87,3 +89,22 @@ def test_semantic_trim(spark):
     long = "甲" * 30 + "，小麦进口将扩大，" + "关税" + "乙" * 40 + "。"
     got = one(spark, rewrite.semantic_trim(F.lit("小麦"), F.array(F.lit(long), F.lit(long), F.lit("短句。")), encode), rewrite.semantic_trim(F.lit("n"), F.lit(None).cast("array<string>"), encode))
     assert got[0] == ["甲" * 30 + "，小麦进口将扩大", "短句。"] and got[1] == []
+
+
+def test_ends_of_forced_evidence(spark):
+    """The operator strips white space, or what it is told; a cut leaves what stands there."""
+    text = "\n　先说  有一句非常重要的话说明了安排。\n后面还有一段内容在这里出现。"
+    tried = ("说  有一句非常重要的话说明了安排。\n", "\n　先说  有一句非常重要的话说明了" + "#" * 12)
+    for strip, want in (((), ("说  有一句非常重要的话说明了安排。", "先说  有一句非常重要的话说明了")), ((T.strip_spaces,), (tried[0], tried[1][:-12]))):
+        assert tuple(one(spark, *[rewrite.force_substring(F.lit(e), F.lit(text), *strip) for e in tried])) == want
+    # 220 characters are left, so 109 that both have are less than half.
+    assert one(spark, rewrite.force_substring(F.lit(" " + "x" * 218 + "  z"), F.lit("x" * 109)), rewrite.force_substring(F.lit("x" * 218), F.lit("x" * 109))) == ("", "x" * 109)
+
+
+def test_forced_query_trims_as_its_sql(spark, tmp_path):
+    """SQL's trim takes spaces of any width and leaves tabs and line ends."""
+    rows = [(1, "0123456789" + "ab " * 13 + "\n" + "cd " * 30), (2, "0123456789" + "\n" + "efgh " * 30), (3, "0123456789" + " 　" + "ijkl " * 7 + "mno" + "pq " * 30), (4, "0123456789" + "\t" + "r s t u " * 4 + "v w xyz " + "r " * 60)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(tuple(r) for r in rewrites.forced_substrings(spark, str(tmp_path)).collect())
+    trim = lambda x: x.strip(" 　")
+    assert got == [(i, k, x) for i, t in rows for k, x in enumerate((trim(t[10:50]), t[10:40].lstrip(" 　"), "", ""))]
